@@ -153,7 +153,8 @@ def format_contributions(top: str | Column) -> Column:
 
 def global_attribution(df: DataFrame, prediction: str, contributions: str = "contributions") -> DataFrame:
     """Mean absolute contribution by class and feature: one aggregate that combines before the shuffle."""
-    long = df.select(prediction, F.explode(contributions).alias("_c"))
+    # the outer form keeps the planner from deriving a filter that repeats the whole array expression
+    long = df.select(prediction, F.explode_outer(contributions).alias("_c"))
     return long.groupBy(prediction, F.col("_c.feature").alias("feature")).agg(
         F.avg(F.abs("_c.contribution")).alias("mean_abs_contribution"), F.count(F.lit(1)).alias("rows")
     )

@@ -116,12 +116,9 @@ def data_quality() -> Column:
     return F.greatest(F.lit(0.0), F.lit(100.0) - F.lit(5.0) * total)
 
 
-def lead_indicator(safety: Column, lagged: Column) -> Column:
-    steep = [F.abs(F.col(f"{s}_roll_grad_5")) > F.lit(0.05) * F.abs(F.col(s)) for s in PHYSICAL_SENSORS]
-    any_steep = steep[0]
-    for s in steep[1:]:
-        any_steep = any_steep | s
-    return F.when(((safety - lagged) < -2.0) | (any_steep & (safety < 95.0)), F.lit(1.0)).otherwise(F.lit(0.0))
+def lead_indicator(safety: str, lagged: str) -> Column:
+    steep = " OR ".join(f"abs({s}_roll_grad_5) > 0.05D * abs({s})" for s in PHYSICAL_SENSORS)
+    return F.expr(f"CASE WHEN {safety} - {lagged} < -2D OR (({steep}) AND {safety} < 95D) THEN 1D ELSE 0D END")
 
 
 def pointwise_indices(df: DataFrame) -> DataFrame:
@@ -150,7 +147,7 @@ def risk_indices(
     if not have:
         extra = None
         if safety and lead:
-            extra = lambda last: {"_safety_lag": F.first(F.col(safety)).over(last(SAFETY_LAG_ROWS))}
+            extra = {"_safety_lag": (f"first_value(`{safety}`)", SAFETY_LAG_ROWS)}
         base = rolling_stats(df, needed, [5], ["grad"], extra=extra, **window)
     out = pointwise_indices(base).withColumn("Process_Stability_Index", process_stability())
     out = out.withColumn("Compound_Risk_Score", compound_risk())
@@ -160,7 +157,7 @@ def risk_indices(
             from furnacelens.operators.rolling import lagged_safety
 
             out = lagged_safety(out, out="_safety_lag", **window)
-        out = out.withColumn("Safety_Lead_Indicator", lead_indicator(F.col("Safety_Index"), F.col("_safety_lag")))
+        out = out.withColumn("Safety_Lead_Indicator", lead_indicator("Safety_Index", "_safety_lag"))
     if not have and not keep_gradients:
         out = out.drop(*[f"{s}_roll_grad_5" for s in needed])
     return out.drop("_safety_lag")

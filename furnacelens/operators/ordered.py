@@ -55,6 +55,26 @@ def _cells(df: DataFrame, keys: list[str], axis: Column, width: int, carry: dict
     )
 
 
+def _plan(df, keys, axis, width, lookback, slice_rows, carry) -> DataFrame:
+    """Per occupied cell of a hot key: its slice, the last slice that needs it, and what comes before."""
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy("_sl_cell").rowsBetween(W.unboundedPreceding, -1)
+    plan = (
+        _cells(df, keys, axis, width, carry)
+        .withColumn("_sl_total", F.sum("_sl_n").over(whole))
+        .filter(F.col("_sl_total") > slice_rows)
+        .withColumn("_sl_before", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
+        .withColumn("_sl_first", F.floor(F.col("_sl_before") / slice_rows).cast("long"))
+    )
+    reach = F.floor((F.col("_sl_before") + F.col("_sl_n") + F.lit(lookback - 1)) / slice_rows).cast("long")
+    plan = plan.withColumns({
+        "_sl_last": F.greatest("_sl_first", reach) if lookback else F.col("_sl_first"),
+        "_sl_base": F.min("_sl_before").over(W.partitionBy(*keys, "_sl_first")),
+        **{f"_sl_carry_{n}": F.max(f"_sl_c_{n}").over(before) for n in carry},
+    })
+    return plan.drop("_sl_total", "_sl_before", *[f"_sl_c_{n}" for n in carry])
+
+
 def slice_keys(
     df: DataFrame,
     keys: list[str],
@@ -70,33 +90,18 @@ def slice_keys(
     (``_sl_base``)."""
     if lookback > slice_rows:
         raise ValueError("slice_rows must be at least the lookback")
-    carry = {n: F.max(c) for n, c in (carry_max or {}).items()}
     for _ in range(MAX_REFINEMENTS):
-        cells = _cells(df, keys, axis, width, carry)
-        whole = W.partitionBy(*keys)
-        before = whole.orderBy("_sl_cell").rowsBetween(W.unboundedPreceding, -1)
-        plan = (
-            cells.withColumn("_sl_total", F.sum("_sl_n").over(whole))
-            .filter(F.col("_sl_total") > slice_rows)
-            .withColumn("_sl_before", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-            .withColumn("_sl_first", F.floor(F.col("_sl_before") / slice_rows).cast("long"))
-        )
-        reach = F.floor((F.col("_sl_before") + F.col("_sl_n") + F.lit(lookback - 1)) / slice_rows)
-        plan = plan.withColumn(
-            "_sl_last", F.greatest("_sl_first", reach.cast("long")) if lookback else F.col("_sl_first")
-        ).withColumn(
-            "_sl_base", F.min("_sl_before").over(W.partitionBy(*keys, "_sl_first"))
-        )
-        for n in carry:
-            plan = plan.withColumn(f"_sl_carry_{n}", F.max(f"_sl_c_{n}").over(before))
-        plan = plan.drop("_sl_total", "_sl_before", *[f"_sl_c_{n}" for n in carry])
+        plan = _plan(df, keys, axis, width, lookback, slice_rows, {})  # counts only: reads key and axis
         local = plan.limit(PLAN_BROADCAST_ROWS + 1).toArrow()
         if local.num_rows == 0:
             return Sliced(df, list(keys), False)
-        biggest = max(local.column("_sl_n").to_pylist())
-        if biggest <= 4 * slice_rows or width == 1:
+        if max(local.column("_sl_n").to_pylist()) <= 4 * slice_rows or width == 1:
             break
         width = max(1, width // 64)  # a burst: cut the axis finer until the fullest cell fits
+    if carry_max:
+        plan = _plan(df, keys, axis, width, lookback, slice_rows, {n: F.max(c) for n, c in carry_max.items()})
+        if local.num_rows <= PLAN_BROADCAST_ROWS:
+            local = plan.toArrow()
     plan = plan.drop("_sl_n")
     if local.num_rows <= PLAN_BROADCAST_ROWS:
         small = df.sparkSession.createDataFrame(local.drop_columns(["_sl_n"]), schema=plan.schema)

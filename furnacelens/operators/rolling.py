@@ -26,6 +26,10 @@ def _slice(df, key, ts, lookback, slice_rows, width) -> Sliced:
     return slice_keys(df, [key], time_axis(ts), width=width, lookback=lookback, slice_rows=slice_rows)
 
 
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def rolling_stats(
     df: DataFrame,
     columns: Sequence[str] = PHYSICAL_SENSORS,
@@ -36,68 +40,71 @@ def rolling_stats(
     ts: str = "ts",
     tie: str = "arrival_seq",
     keep: Sequence[str] | None = None,
-    extra=None,
+    extra: dict[str, tuple[str, int]] | None = None,
     slice_rows: int = SLICE_ROWS,
     width: int = HOUR_MICROS,
 ) -> DataFrame:
     """``{column}_roll_{stat}_{W}`` over the last W rows of the key, the current row included.
 
-    One Window node and one sort serve every column and window. Only mean and variance re-read
-    their frame; gradient and rate need just the frame's first value, which is a lag (or, while the
-    key is still warming up, its first row). ``extra(window_for)`` may add expressions on the same
-    sort; it gets a function from a number of rows to a Window.
+    One sort serves every column and window. Only mean and variance re-read their frame, as two plain
+    sums of the distance to the key's first reading (small numbers, so nothing cancels); gradient and
+    rate need just the frame's first value, which is a lag (or, while the key is warming up, its first
+    row). ``extra`` adds ``name: (aggregate, rows)`` on the same sort. The expressions are SQL text:
+    hundreds of columns then cost one call instead of thousands.
     """
     lookback = max([*windows, SAFETY_LAG_ROWS]) - 1
     sliced = _slice(df, key, ts, lookback, slice_rows, width)
-    order = W.partitionBy(*sliced.keys).orderBy(ts, tie)
-
-    def last(rows: int):
-        return order.rowsBetween(-(rows - 1), 0)
-
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    need_first = {"grad", "roc"} & set(stats)
-    need_var = {"var", "std"} & set(stats)
-    cols: dict[str, Column] = {"_rw_seen": F.row_number().over(order)}
-    for c in columns:
-        x = F.col(f"`{c}`")
+    base = [c for c in (list(keep) if keep is not None else df.columns)]
+    order = f"PARTITION BY {', '.join(map(_tick, sliced.keys))} ORDER BY {_tick(ts)}, {_tick(tie)}"
+
+    def last(rows: int) -> str:
+        return f"OVER ({order} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+
+    need_mean, need_var = bool({"avg", "var", "std"} & set(stats)), bool({"var", "std"} & set(stats))
+    need_first = bool({"grad", "roc"} & set(stats))
+    first_pass = [f"row_number() OVER ({order}) AS _rw_n"]
+    for i, c in enumerate(columns):
+        x = f"CAST({_tick(c)} AS DOUBLE)"
+        first_pass.append(f"first_value({x}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _rw_h{i}")
         if need_first:
-            cols[f"_rw_{c}_head"] = F.first(x).over(so_far)
+            first_pass += [f"lag({x}, {w - 1}) OVER ({order}) AS _rw_l{i}_{w}" for w in windows]
+    first_pass += [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
+    staged = sliced.df.selectExpr("*", *first_pass)
+
+    second_pass = []
+    for i, c in enumerate(columns):
+        gap = f"({_tick(c)} - _rw_h{i})"
         for w in windows:
-            if "avg" in stats:
-                cols[f"{c}_roll_avg_{w}"] = F.avg(x).over(last(w))
+            if need_mean:
+                second_pass.append(f"sum({gap}) {last(w)} AS _rw_s{i}_{w}")
             if need_var:
-                cols[f"_rw_{c}_var_{w}"] = F.var_pop(x).over(last(w))
-            if need_first:
-                cols[f"_rw_{c}_lag_{w}"] = F.lag(x, w - 1).over(order)
-    if extra is not None:
-        cols.update(extra(last))
-    windowed = sliced.df.withColumns(cols)
-
-    seen = F.col("_rw_seen")
-    out: list[Column] = []
-    for c in columns:
-        x = F.col(f"`{c}`")
+                second_pass.append(f"sum({gap} * {gap}) {last(w)} AS _rw_q{i}_{w}")
+    if second_pass:
+        staged = staged.selectExpr("*", *second_pass)
+
+    made = {}
+    for i, c in enumerate(columns):
         for w in windows:
-            n = F.least(seen, F.lit(w)).cast("double")
-            start = F.when(seen >= w, F.col(f"`_rw_{c}_lag_{w}`")).otherwise(F.col(f"`_rw_{c}_head`")) if need_first else None
-            var = F.greatest(F.lit(0.0), F.col(f"`_rw_{c}_var_{w}`")) if need_var else None
-            made = {
-                "avg": lambda: F.col(f"`{c}_roll_avg_{w}`"),
-                "var": lambda: var,
-                "std": lambda: F.sqrt(var),
-                "grad": lambda: F.when(n > 1, (x - start) / n).otherwise(F.lit(0.0)),
-                "roc": lambda: F.when(
-                    n > 1, F.try_divide(x - start, start + F.lit(GRADIENT_GUARD))
-                ).otherwise(F.lit(0.0)),
+            n, x = f"CAST(least(_rw_n, {w}) AS DOUBLE)", _tick(c)
+            start = f"(CASE WHEN _rw_n >= {w} THEN _rw_l{i}_{w} ELSE _rw_h{i} END)"
+            mean_gap = f"(_rw_s{i}_{w} / {n})"
+            var = f"greatest(0D, _rw_q{i}_{w} / {n} - {mean_gap} * {mean_gap})"
+            text = {
+                "avg": f"_rw_h{i} + {mean_gap}",
+                "var": var,
+                "std": f"sqrt({var})",
+                "grad": f"CASE WHEN _rw_n > 1 THEN ({x} - {start}) / {n} ELSE 0D END",
+                "roc": f"CASE WHEN _rw_n > 1 THEN try_divide({x} - {start}, {start} + {GRADIENT_GUARD!r}D) ELSE 0D END",
             }
-            out += [made[s]().alias(f"{c}_roll_{s}_{w}") for s in stats]
-    base = list(keep) if keep is not None else df.columns
-    extras = [k for k in (extra(last) if extra is not None else {})]
-    helper = [c for c in windowed.columns if c.startswith("_sl_")]
-    made_names = {f"{c}_roll_{s}_{w}" for c in columns for s in stats for w in windows}
-    return sliced.finish(
-        windowed.select(*[F.col(f"`{b}`") for b in base if b not in made_names], *extras, *helper, *out)
+            for st in stats:
+                made[f"{c}_roll_{st}_{w}"] = text[st]
+    helper = ["_sl_halo", *sliced.keys] if sliced.hot else []
+    kept = [*[b for b in base if b not in made], *(extra or {})]
+    out = staged.selectExpr(
+        *dict.fromkeys([*map(_tick, kept), *map(_tick, helper)]), *[f"{e} AS {_tick(n)}" for n, e in made.items()]
     )
+    done = sliced.finish(out)
+    return done if not sliced.hot or key in kept else done.drop(key)
 
 
 def numeric_sensor_columns(df: DataFrame) -> list[str]:

@@ -198,6 +198,11 @@ _REPLACED = {
 _VIEWS["norm"] = (("verdict",), f"""
 SELECT * REPLACE ({", ".join(f"{e} AS {c}" for c, e in _REPLACED.items())}) FROM verdict""")
 
+_VIEWS["flow_grads"] = (("norm",), f"""
+SELECT * EXCLUDE (ts), {", ".join(f"{grad_sql(s).replace('ORDER BY ts, event_id', 'ORDER BY pts, event_id')} AS g_{s}"
+  for s in ("BF_Top_Pressure", "BF_Blast_Flow", "CO_Gas_Pressure", "CO_Oven_Temperature"))} FROM norm WHERE reason IS NULL""")
+_VIEWS["flow_idx"] = (("flow_grads",), _VIEWS["idx0"][1].replace("FROM grads", "FROM flow_grads"))
+
 _VIEWS["pred"] = (("lab_num",), """
 SELECT *, CASE prediction WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS predicted_class
 FROM (SELECT *, greatest(prob_0, prob_1, prob_2, prob_3) AS confidence,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furnacelens.constants import RAW_SENSORS
@@ -42,30 +42,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sensor(name: str) -> Column:
+def _sensor(name: str) -> str:
+    """One sensor as SQL text: low + (high - low) * fraction * severity, all in doubles."""
     p, low, high = SENSOR_BINDING[name]
-    u = ((F.col("event_id") * F.lit(p)) % F.lit(1009)).cast("double") / F.lit(1008.0)
-    severity = (F.col("asset_id") + F.lit(1)).cast("double") / F.lit(8.0)
-    value = F.lit(low) + F.lit(high - low) * u * severity
-    return F.floor(value).cast("double") if name == "Worker_Count" else value
+    fraction = f"CAST((event_id * {p}L) % 1009L AS DOUBLE) / 1008D"
+    severity = "CAST(asset_id + 1 AS DOUBLE) / 8D"
+    value = f"{low!r}D + {high - low!r}D * ({fraction}) * ({severity})"
+    return f"CAST(floor({value}) AS DOUBLE)" if name == "Worker_Count" else value
 
 
 def telemetry_view(events: DataFrame) -> DataFrame:
     """One clean packet per event; a projection, so unused sensors are pruned."""
-    base = events.withColumn("asset_id", F.col("user_id") % F.lit(8))
-    hour = F.hour("ts")
-    permit = (F.col("event_id") % F.lit(13)) % F.lit(4)
-    return base.select(
-        "event_id", "asset_id", F.col("event_id").alias("arrival_seq"), F.col("ts").cast("timestamp").alias("ts"),
-        "event_type", "value",
-        *[_sensor(s).alias(s) for s in RAW_SENSORS],
-        F.when(hour < 8, "Night").when(hour < 16, "Morning").otherwise("Afternoon").alias("Shift_Type"),
-        F.when(permit == 0, "None").when(permit == 1, "Hot Work").when(permit == 2, "Confined Space")
-        .otherwise("General").alias("Permit_Type"),
-        F.when(F.col("event_id") % 11 == 0, "Worker No PPE").otherwise("Normal").alias("CCTV_Event"),
-        (F.col("event_id") % 7 != 0).alias("PPE_Compliance"),
-        (F.col("event_id") % 4 == 0).alias("Maintenance_Active"),
-        (F.col("event_id") % 5 != 0).alias("Gas_Test_Completed"),
+    return events.selectExpr("*", "user_id % 8 AS asset_id").selectExpr(
+        "event_id", "asset_id", "event_id AS arrival_seq", "CAST(ts AS TIMESTAMP) AS ts", "event_type", "value",
+        *[f"{_sensor(s)} AS {s}" for s in RAW_SENSORS],
+        "CASE WHEN hour(ts) < 8 THEN 'Night' WHEN hour(ts) < 16 THEN 'Morning' ELSE 'Afternoon' END AS Shift_Type",
+        """CASE (event_id % 13) % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'Hot Work' WHEN 2 THEN 'Confined Space'
+           ELSE 'General' END AS Permit_Type""",
+        "CASE WHEN event_id % 11 = 0 THEN 'Worker No PPE' ELSE 'Normal' END AS CCTV_Event",
+        "event_id % 7 <> 0 AS PPE_Compliance",
+        "event_id % 4 = 0 AS Maintenance_Active",
+        "event_id % 5 <> 0 AS Gas_Test_Completed",
     )
 
 
@@ -89,30 +86,21 @@ def with_label(df: DataFrame, out: str = "Future_Risk_Level") -> DataFrame:
 
 def raw_packets(events: DataFrame) -> DataFrame:
     """The same readings as JSON packets with injected faults: asset_id, arrival_seq, payload."""
-    t = telemetry_view(events)
-    hit = F.coalesce(*[F.when(F.col("event_id") % d == 0, F.lit(d)) for d in FAULT_DIVISORS], F.lit(0))
-    sec = F.date_trunc("second", "ts")
-    stamp = (
-        F.when(hit == 109, F.date_format("ts", "yyyy-MM-dd HH:mm"))
-        .when(hit == 113, F.date_format(sec - F.expr("INTERVAL 2 DAYS"), "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.date_format(sec, "yyyy-MM-dd HH:mm:ss"))
-    )
-    fields: dict[str, Column] = {"Timestamp": stamp}
-    for s in RAW_SENSORS:
-        fields[s] = F.col(s).cast("string")
-    fields["CO_CO"] = F.when(hit != 97, F.col("CO_CO").cast("string"))
-    fields["BF_H2"] = F.when(hit == 101, "bad").otherwise(F.col("BF_H2").cast("string"))
-    fields["BF_Top_Pressure"] = F.when(hit == 457, "0.3").otherwise(F.col("BF_Top_Pressure").cast("string"))
-    fields["BF_Top_Temperature"] = F.when(hit == 457, "950").otherwise(F.col("BF_Top_Temperature").cast("string"))
-    fields["Shift_Type"] = F.col("Shift_Type")
-    fields["Permit_Type"] = F.when(hit == 127, "Unknown").otherwise(F.col("Permit_Type"))
-    fields["CCTV_Event"] = F.col("CCTV_Event")
-    token = F.element_at(F.array(F.lit("Yes"), F.lit("no"), F.lit("1")), (F.col("event_id") % 3 + 1).cast("int"))
-    fields["PPE_Compliance"] = F.when(hit == 131, token).otherwise(F.col("PPE_Compliance").cast("string"))
-    fields["Maintenance_Active"] = F.col("Maintenance_Active").cast("string")
-    fields["Gas_Test_Completed"] = F.col("Gas_Test_Completed").cast("string")
-    packet = F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values()))
-    kept = F.map_filter(
-        packet, lambda k, v: ~((hit == 103) & (k == "CO_NH3")) & ~((hit == 107) & (k == "Timestamp"))
-    )
-    return t.select("asset_id", "arrival_seq", F.to_json(kept).alias("payload"))
+    faults = " ".join(f"WHEN event_id % {n} = 0 THEN {n}" for n in FAULT_DIVISORS)
+    t = telemetry_view(events).selectExpr("*", f"CASE {faults} ELSE 0 END AS hit", "date_trunc('second', ts) AS sec")
+    fields = {s: f"CAST({s} AS STRING)" for s in RAW_SENSORS}
+    fields |= {c: c for c in ("Shift_Type", "Permit_Type", "CCTV_Event")}
+    fields |= {c: f"CAST({c} AS STRING)" for c in ("PPE_Compliance", "Maintenance_Active", "Gas_Test_Completed")}
+    fields["Timestamp"] = """CASE hit WHEN 109 THEN date_format(ts, 'yyyy-MM-dd HH:mm')
+        WHEN 113 THEN date_format(sec - INTERVAL 2 DAYS, 'yyyy-MM-dd HH:mm:ss')
+        ELSE date_format(sec, 'yyyy-MM-dd HH:mm:ss') END"""
+    fields["CO_CO"] = "CASE WHEN hit <> 97 THEN CAST(CO_CO AS STRING) END"
+    fields["BF_H2"] = "CASE WHEN hit = 101 THEN 'bad' ELSE CAST(BF_H2 AS STRING) END"
+    fields["BF_Top_Pressure"] = "CASE WHEN hit = 457 THEN '0.3' ELSE CAST(BF_Top_Pressure AS STRING) END"
+    fields["BF_Top_Temperature"] = "CASE WHEN hit = 457 THEN '950' ELSE CAST(BF_Top_Temperature AS STRING) END"
+    fields["Permit_Type"] = "CASE WHEN hit = 127 THEN 'Unknown' ELSE Permit_Type END"
+    fields["PPE_Compliance"] = """CASE WHEN hit = 131 THEN element_at(array('Yes', 'no', '1'), CAST(event_id % 3 + 1 AS INT))
+        ELSE CAST(PPE_Compliance AS STRING) END"""
+    packet = "map(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    kept = f"map_filter({packet}, (k, v) -> NOT (hit = 103 AND k = 'CO_NH3') AND NOT (hit = 107 AND k = 'Timestamp'))"
+    return t.selectExpr("asset_id", "arrival_seq", f"to_json({kept}) AS payload")
