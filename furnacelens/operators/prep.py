@@ -78,7 +78,10 @@ class CleaningModel:
             elif kind == "boolean":
                 clean[c] = F.coalesce(q(c), F.lit(False))
             else:
-                clean[c] = F.coalesce(F.when(is_finite(q(c).cast("double")), q(c)), F.lit(self.medians.get(c, 0.0)))
+                fill = F.lit(self.medians.get(c, 0.0))
+                if self.null_counts.get(c) == 0 and isinstance(df.schema[c].dataType, T.IntegralType):
+                    fill = fill.cast(df.schema[c].dataType)  # a whole-number column without gaps stays one
+                clean[c] = F.coalesce(F.when(is_finite(q(c).cast("double")), q(c)), fill)
         return clean
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -63,9 +63,11 @@ def predictions(spark, sf) -> DataFrame:
     raws = []
     for k in range(4):
         w = F.lit(1) + (F.col("event_id") * F.lit(31 + 2 * k)) % F.lit(97)
-        raws.append(w + F.when((F.col("label") == k) & (F.col("event_id") % 10 != 0), F.lit(150)).otherwise(F.lit(0)))
-    staged = base.withColumns({f"_w{k}": w.cast("double") for k, w in enumerate(raws)})
-    total = F.col("_w0") + F.col("_w1") + F.col("_w2") + F.col("_w3")
+        raws.append((w + F.when((F.col("label") == k) & (F.col("event_id") % 10 != 0), F.lit(150)).otherwise(F.lit(0))).cast("double"))
+    staged = base.withColumns({f"_w{k}": w for k, w in enumerate(raws)})
+    total = F.lit(4.0) + F.when(F.col("event_id") % 10 != 0, F.lit(150.0)).otherwise(F.lit(0.0))
+    for k in range(4):
+        total = total + ((F.col("event_id") * F.lit(31 + 2 * k)) % F.lit(97)).cast("double")
     probs = staged.withColumns({f"prob_{k}": F.col(f"_w{k}") / total for k in range(4)})
     return score_columns(probs.drop("_w0", "_w1", "_w2", "_w3"))
 

@@ -21,13 +21,14 @@ def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     """CSV where the word None and empty strings are ordinary text, never null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     reader = spark.read.schema(schema).option("header", True)
-    return reader.option("nullValue", TEXT_NULL).option("emptyValue", "").csv(path)
+    read = reader.option("nullValue", TEXT_NULL).option("emptyValue", "").csv(path)
+    return read.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])  # an unquoted blank is empty text
 
 
 def write_csv(df: DataFrame, path: str, *, text_safe: bool = False) -> str:
     writer = df.write.option("header", True)
     if text_safe:
-        writer = writer.option("nullValue", TEXT_NULL).option("emptyValue", "")
+        writer = writer.option("nullValue", TEXT_NULL)
     writer.csv(path)
     return path
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furnacelens.constants import RAW_SENSORS
+from furnacelens.constants import RAW_SENSORS, RISK_CLASSES
 from furnacelens.functions.scalar import ramp
 
 # ---------------------------------------------------------------------------
@@ -78,10 +78,9 @@ def with_label(df: DataFrame, out: str = "Future_Risk_Level") -> DataFrame:
         ramp("CO_Steam_Temperature", 240, 320),
         F.when((F.col("Ambient_Temp") > 42) | (F.col("Ambient_Temp") < 8), F.lit(100.0)).otherwise(F.lit(0.0)),
     )
-    label = (
-        F.when(hazard < 40, "Low").when(hazard < 70, "Medium").when(hazard < 90, "High").otherwise("Critical")
-    )
-    return df.withColumn(out, label)
+    # one reference to the hazard: a CASE would repeat the whole expression per class
+    reached = F.size(F.filter(F.array(F.lit(40.0), F.lit(70.0), F.lit(90.0)), lambda limit: limit <= hazard))
+    return df.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in RISK_CLASSES]), reached + F.lit(1)))
 
 
 def raw_packets(events: DataFrame) -> DataFrame:
