@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from furnacelens.catalogues import (
@@ -16,8 +17,8 @@ from furnacelens.catalogues import (
     SCENARIO_START,
     SCENARIOS,
 )
-from furnacelens.functions.scalar import gaussian
-from furnacelens.operators.selection import draw_with_replacement, first_by_hash
+from furnacelens.functions.scalar import gaussian, stable_hash
+from furnacelens.operators.selection import class_sizes, draw_with_replacement, first_by_hash
 
 # Jitter size, its floor, and the texts used when state metadata is absent.
 JITTER_RELATIVE = 0.005
@@ -37,32 +38,23 @@ def overlay(df: DataFrame, updates: dict[str, object]) -> DataFrame:
 
 def rows_per_class(df: DataFrame, n: int, label: str, ident: str, *, seed: int = 42) -> DataFrame:
     """n rows of each class; a class with fewer is drawn with replacement. Adds ``draw`` (0-based)."""
-    from pyspark.sql import Window as W
-
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    small = [r[label] for r in sizes.filter(F.col("_n") < n).collect()]  # one row per class
+    sizes = class_sizes(df, label)
+    small = [c for c, k in sizes.items() if k < n]
     enough = df.filter(~F.col(label).isin(*small)) if small else df
-    picked = first_by_hash(enough, n, ident, by=[label], seed=seed)
-    from furnacelens.functions.scalar import stable_hash
-
+    picked = first_by_hash(enough, n, ident, by=label, seed=seed)
     order = W.partitionBy(label).orderBy(stable_hash(ident, seed), ident)  # n rows per class
     out = picked.withColumn("draw", F.row_number().over(order) - F.lit(1))
     if small:
-        again = draw_rows(df.filter(F.col(label).isin(*small)), {c: n for c in small}, label, ident, seed=seed)
-        out = out.unionByName(again.select(*out.columns))
+        again = draw_rows(df, {c: n for c in small}, label, ident, seed=seed)
+        out = out.unionByName(again.select(*[F.col(c).cast(t) for c, t in out.dtypes]))
     return out
 
 
-def draw_rows(df: DataFrame, sizes: dict[str, int], label: str, ident: str, *, seed: int = 42, first: int = 0) -> DataFrame:
+def draw_rows(df: DataFrame, sizes: dict[str, int], label: str, ident: str, *, seed: int | str = 42) -> DataFrame:
     """For each class the given number of rows, drawn uniformly with replacement. Adds ``draw``."""
-    spark = df.sparkSession
-    parts = F.array(*[F.struct(F.lit(c).alias(label), F.lit(k).alias("_k")) for c, k in sizes.items()])
-    draws = spark.range(1).select(F.inline(parts)).select(
-        label, F.explode(F.sequence(F.lit(first), F.lit(first) + F.col("_k") - F.lit(1))).alias("draw")
-    ).withColumn("_draw_key", F.concat_ws("/", label, "draw"))
-    return draw_with_replacement(
-        df.filter(F.col(label).isin(*sizes)), draws, ident, ident, by=[label], draw_key="_draw_key", seed=seed
-    ).drop("_draw_key")
+    draws = [{"class": c, "key": f"{c}/{i}", "draw": i} for c, k in sizes.items() for i in range(k)]
+    out = draw_with_replacement(df, draws, ident, by=label, seed=seed)
+    return out.withColumn("draw", F.col("draw").cast("int"))
 
 
 def jitter(df: DataFrame, columns: Sequence[str], ident: str | Column, *, seed: int = 42) -> DataFrame:
@@ -111,11 +103,11 @@ def ramp_rows(df: DataFrame, ramps: dict[str, tuple[float, float]], first: int,
     })
 
 
-def decay_rows(df: DataFrame, columns: Sequence[str], first: int, length: int, *, by: Sequence[str] = (), step: str = "step") -> DataFrame:
+def decay_rows(df: DataFrame, columns: Sequence[str], first: int, length: int, *, by: Sequence[str], step: str = "step") -> DataFrame:
     """Fall linearly to zero from the value on the anchor row."""
     anchors = df.filter(F.col(step) == first).select(*by, *[F.col(c).alias(f"_a_{c}") for c in columns])
     # one anchor row per run of the scenario
-    joined = df.join(F.broadcast(anchors), list(by)) if by else df.crossJoin(F.broadcast(anchors))
+    joined = df.join(F.broadcast(anchors), list(by))
     factor = (F.col(step) - F.lit(first)) / F.lit(float(length))
     made = {
         c: F.when(F.col(step) >= first, F.greatest(F.lit(0.0), F.col(f"_a_{c}") * (F.lit(1.0) - factor))).otherwise(F.col(c))
@@ -128,26 +120,42 @@ def override_rows(df: DataFrame, values: dict[str, object], first: int = 0, step
     return df.withColumns({c: F.when(F.col(step) >= first, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def scenario_base(df: DataFrame, scenario: str, label: str, ident: str, *, seed: int = 42) -> DataFrame:
-    """The drawn rows of a scenario in order, with ``step`` numbering them."""
-    parts, first = [], 0
-    for i, (risk, rows) in enumerate(SCENARIO_SEGMENTS[scenario]):
-        drawn = draw_rows(df, {risk: rows}, label, ident, seed=f"{seed}/{scenario}/{i}")
-        parts.append(drawn.withColumn("step", F.col("draw") + F.lit(first)).drop("draw"))
-        first += rows
-    return concat_segments(parts)
-
-
-def build_scenario(df: DataFrame, scenario: str, label: str, ident: str, *, seed: int = 42) -> DataFrame:
-    out = scenario_base(df, scenario, label, ident, seed=seed).withColumn("scenario", F.lit(scenario))
-    first, length = SCENARIO_RAMP_ROWS.get(scenario, (0, 1))
-    if scenario in SCENARIO_DECAYS:
-        out = decay_rows(out, SCENARIO_DECAYS[scenario], first, length, by=["scenario"])
-    if scenario in SCENARIO_RAMPS:
-        out = ramp_rows(out, SCENARIO_RAMPS[scenario], first, length)
-    if scenario in SCENARIO_OVERRIDES:
-        out = override_rows(out, SCENARIO_OVERRIDES[scenario], first)
-    return minute_timestamps(out, F.col("step"))
+def scenario_bases(df: DataFrame, scenarios: Sequence[str], label: str, ident: str, *, seed: int = 42) -> DataFrame:
+    """The drawn rows of several scenarios, found in one pass; ``segment`` and ``step`` order them."""
+    draws = []
+    for s in scenarios:
+        first = 0
+        for i, (risk, rows) in enumerate(SCENARIO_SEGMENTS[s]):
+            draws += [
+                {"class": risk, "key": f"{risk}/{k}", "seed": f"{seed}/{s}/{i}", "scenario": s, "segment": i, "step": first + k}
+                for k in range(rows)
+            ]
+            first += rows
+    out = draw_with_replacement(df, draws, ident, by=label)
+    return out.withColumns({"segment": F.col("segment").cast("int"), "step": F.col("step").cast("int")})
+
+
+def build_scenarios(df: DataFrame, scenarios: Sequence[str], label: str, ident: str, *, seed: int = 42) -> DataFrame:
+    """Each scenario's ramps, decays and overrides on its own drawn rows."""
+    from furnacelens.session import materialise
+
+    # the drawn rows (some hundreds) are read once per scenario, so they are written first
+    base = materialise(scenario_bases(df, scenarios, label, ident, seed=seed), "scenario-rows")
+    parts = []
+    for s in scenarios:
+        out = base.filter(F.col("scenario") == s)
+        first, length = SCENARIO_RAMP_ROWS.get(s, (0, 1))
+        if s in SCENARIO_DECAYS:
+            out = decay_rows(out, SCENARIO_DECAYS[s], first, length, by=["scenario"])
+        if s in SCENARIO_RAMPS:
+            out = ramp_rows(out, SCENARIO_RAMPS[s], first, length)
+        if s in SCENARIO_OVERRIDES:
+            out = override_rows(out, SCENARIO_OVERRIDES[s], first)
+        parts.append(minute_timestamps(out, F.col("step")))
+    result = parts[0]
+    for p in parts[1:]:
+        result = result.unionByName(p)
+    return result
 
 
 def scenario_table(spark) -> DataFrame:

@@ -65,10 +65,11 @@ def per_class(cells: DataFrame) -> DataFrame:
         F.struct(F.col("label").alias("class"), F.col("n").alias("a"), F.lit(0).cast("long").alias("p")),
         F.struct(F.col("prediction").alias("class"), F.lit(0).cast("long").alias("a"), F.col("n").alias("p")),
     )
-    sides = cells.select(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("hit"), F.inline(both))
+    sides = cells.select(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)).alias("hit"), (F.col("prediction") < F.col("label")).alias("low"), F.inline(both))
     sums = sides.groupBy("class").agg(
         F.sum(F.when(F.col("a") > 0, F.col("hit")).otherwise(F.lit(0))).alias("tp"),
         F.sum("a").alias("support"), F.sum("p").alias("predicted"),
+        F.sum(F.when(F.col("low"), F.col("a")).otherwise(F.lit(0))).alias("under"),
     )
     precision, recall = _ratio(F.col("tp"), F.col("predicted")), _ratio(F.col("tp"), F.col("support"))
     out = sums.withColumns({"precision": precision, "recall": recall})
@@ -90,10 +91,12 @@ def averaged(classes: DataFrame) -> DataFrame:
 
 
 def accuracy_summary(cells: DataFrame) -> DataFrame:
-    hit = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0)))
-    base = cells.agg(F.sum("n").alias("total"), hit.alias("correct"))
-    recalls = per_class(cells).filter("support > 0").agg(F.avg("recall").alias("balanced_accuracy"))
-    return base.crossJoin(recalls).select(  # one row each
+    """Counts, accuracy, and the mean recall of the classes that occur."""
+    sums = per_class(cells).agg(
+        F.sum("support").alias("total"), F.sum("tp").alias("correct"),
+        F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"),
+    )
+    return sums.select(
         "total", "correct", (F.col("total") - F.col("correct")).alias("incorrect"),
         (F.col("correct") / F.col("total")).alias("accuracy"), "balanced_accuracy",
     )
@@ -101,19 +104,15 @@ def accuracy_summary(cells: DataFrame) -> DataFrame:
 
 def benchmark_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """Accuracy, macro F1, recall of the critical class and under-prediction rate, in one row."""
-    cells = confusion_long(df, label, prediction)
-    n, act, pred = F.col("n"), F.col("label"), F.col("prediction")
-    top = len(RISK_CLASSES) - 1
-
-    def total(cond: Column) -> Column:
-        return F.sum(F.when(cond, n).otherwise(F.lit(0)))
-
-    direct = cells.agg(
-        (total(act == pred) / F.sum(n)).alias("accuracy"),
-        _ratio(total((act == top) & (pred == top)), total(act == top)).alias("critical_recall"),
-        _ratio(total((act > 0) & (pred < act)), total(act > 0)).alias("under_prediction_rate"),
+    classes = per_class(confusion_long(df, label, prediction))
+    present = (F.col("support") > 0) | (F.col("predicted") > 0)
+    risky = F.col("class") > 0
+    return classes.agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        F.avg(F.when(present, F.col("f1"))).alias("macro_f1"),
+        F.max(F.when(F.col("class") == len(RISK_CLASSES) - 1, F.col("recall"))).alias("critical_recall"),
+        _ratio(F.sum(F.when(risky, F.col("under"))), F.sum(F.when(risky, F.col("support")))).alias("under_prediction_rate"),
     )
-    return direct.crossJoin(averaged(per_class(cells)).select(F.col("f1_macro").alias("macro_f1")))  # one row each
 
 
 def one_vs_rest_runs(df: DataFrame, label: str = "label", **ranking) -> DataFrame:

@@ -158,15 +158,16 @@ def row_positions(
     return sliced.finish(sliced.df.withColumn(out, rn))
 
 
-def _axis_stats(df: DataFrame, column: str, slices: int) -> int:
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
+def _axis_width(df: DataFrame, column: str, slices: int, slice_rows: int) -> int:
+    """Cell width that gives about ``slices`` cells, and more once cells would outgrow a slice."""
+    lo, hi, n = df.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
     if lo is None:
         return 1
-    return max(1, (hi - lo + 1) // slices)
+    return max(1, (hi - lo + 1) // max(slices, 4 * n // slice_rows))
 
 
 def global_row_number(df: DataFrame, axis: str, out: str, *, slices: int = 512, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Row number over the whole table by a unique integer column, without a single-task window."""
-    width = _axis_stats(df, axis, slices)
+    width = _axis_width(df, axis, slices, slice_rows)
     keyed = df.withColumn("_all", F.lit(0))
     return row_positions(keyed, ["_all"], F.col(axis), [axis], out, width=width, slice_rows=slice_rows).drop("_all")

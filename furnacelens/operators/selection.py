@@ -1,8 +1,9 @@
 """Choosing rows by hash order: splits, samples and draws that do not depend on partitioning.
 
-A rank cut over a whole class would sort that class in one task. Instead the hash range is divided
-into equal slices, one aggregate finds the slice that holds the cut, and only that slice is ranked.
-The result is an exact threshold per class, which then applies to every row as a plain comparison.
+Ranking a whole class would sort it in one task. Ranks are found digit by digit instead: one
+aggregate counts a class by the leading byte of the hash, which tells the byte that holds the wanted
+rank; only rows with that byte are counted by their next byte, until few enough remain to be ranked.
+A cut over a class becomes an exact threshold that applies to every row as a plain comparison.
 """
 
 from __future__ import annotations
@@ -11,111 +12,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from furnacelens.functions.scalar import HASH_SPAN, stable_hash
+from furnacelens.functions.scalar import stable_hash
 
-HASH_SLICES = 4096
+LEAF_ROWS = 200_000
+DIGIT_BITS = 8
+HASH_BITS = 32
 
 
-def hash_thresholds(
-    df: DataFrame,
-    by: list[str],
-    ident: str,
-    seed: int | str,
-    cuts: dict[str, Column],
-    *,
-    slices: int = HASH_SLICES,
+def _prefix(level: int) -> Column:
+    """The leading ``level`` bytes of the hash."""
+    return F.shiftright(F.col("_h"), HASH_BITS - DIGIT_BITS * level) if level else F.lit(0).cast("long")
+
+
+def class_sizes(df: DataFrame, by: str) -> dict:
+    """Rows per class; one entry per class reaches the driver."""
+    return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def rows_at_ranks(
+    df: DataFrame, by: str, ident: str, seed: int | str, wanted: dict[object, list[int]], sizes: dict, *, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
-    """One row per class with, for each named cut k, the (hash, id) of the k-th row in hash order.
+    """The rows at the wanted 1-based ranks of each class in hash order, with ``_rank`` and ``_h``.
 
-    ``cuts`` maps a name to an expression over ``_n`` (rows in the class) giving k. A cut of 0 or less
-    has a null threshold; a cut beyond the class takes its last row.
+    The driver only holds one entry per wanted rank.
     """
-    keyed = df.select(*by, F.col(ident).alias("_id"), stable_hash(ident, seed).alias("_h")).withColumn(
-        "_s", F.floor(F.col("_h") * F.lit(slices) / F.lit(HASH_SPAN)).cast("int")
-    )
-    counts = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*by).orderBy("_s")
-    counts = (
-        counts.withColumn("_n", F.sum("_c").over(W.partitionBy(*by)))
-        .withColumn("_upto", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .withColumn("_from", F.col("_upto") - F.col("_c"))
-    )
-    cut_cols = {n: F.least(c.cast("long"), F.col("_n")) for n, c in cuts.items()}
-    wanted = counts.select(
-        *by, "_s", "_from", "_upto",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("cut"), c.alias("k")) for n, c in cut_cols.items()])).alias("x"),
-    ).filter((F.col("x.k") > F.col("_from")) & (F.col("x.k") <= F.col("_upto")))
-    wanted = wanted.select(*by, "_s", "_from", F.col("x.cut").alias("_cut"), F.col("x.k").alias("_k"))
-    slice_ids = wanted.select(*by, "_s", "_from").distinct()
-    # at most classes x cuts slices survive this join
-    near = keyed.join(F.broadcast(slice_ids), [*by, "_s"]) if by else keyed.join(F.broadcast(slice_ids), ["_s"])
-    ranked = near.withColumn(
-        "_rank", F.row_number().over(W.partitionBy(*by, "_s").orderBy("_h", "_id")) + F.col("_from")
-    )
-    picked = ranked.drop("_from").join(F.broadcast(wanted.drop("_from")), [*by, "_s"]).filter(F.col("_rank") == F.col("_k"))
-    point = F.struct(F.col("_h"), F.col("_id"))
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_cut") == n, point)).alias(n) for n in cuts]
-    )
-
-
-def _with_point(df: DataFrame, ident: str, seed: int | str) -> DataFrame:
-    return df.withColumn("_pt", F.struct(stable_hash(ident, seed).alias("_h"), F.col(ident).alias("_id")))
+    spark = df.sparkSession
+    keyed = df.withColumn("_h", stable_hash(ident, seed))
+    key_type = df.schema[by].dataType.simpleString()
+    schema = f"`{by}` {key_type}, _p long, _before long"
+    open_groups = {(c, 0): (0, sizes[c]) for c, ks in wanted.items() if ks and c in sizes}
+    leaves: list[tuple[int, dict]] = []
+    level = 0
+    while open_groups:
+        small = {g: v for g, v in open_groups.items() if v[1] <= leaf_rows or level == HASH_BITS // DIGIT_BITS}
+        if small:
+            leaves.append((level, small))
+        large = {g: v for g, v in open_groups.items() if g not in small}
+        if not large:
+            break
+        marks = spark.createDataFrame([(c, p, b) for (c, p), (b, _n) in large.items()], schema)
+        counted = (
+            keyed.select(by, _prefix(level).alias("_p"), _prefix(level + 1).alias("_next"))
+            .join(F.broadcast(marks.drop("_before")), [by, "_p"])  # at most one entry per wanted rank
+            .groupBy(by, "_p", "_next").agg(F.count(F.lit(1)).alias("n"))
+        )
+        found: dict[tuple, list] = {}
+        for r in counted.collect():  # 256 counts per open group
+            found.setdefault((r[by], r["_p"]), []).append((r["_next"], r["n"]))
+        open_groups = {}
+        for (c, p), digits in found.items():
+            at = large[(c, p)][0]
+            for digit, n in sorted(digits):
+                if any(at < k <= at + n for k in wanted[c]):
+                    open_groups[(c, digit)] = (at, n)
+                at += n
+        level += 1
+    ranks = spark.createDataFrame([(c, k) for c, ks in wanted.items() for k in sorted(set(ks))], f"`{by}` {key_type}, _rank long")
+    parts = []
+    for depth, groups in leaves:
+        marks = spark.createDataFrame([(c, p, b) for (c, p), (b, _n) in groups.items()], schema)
+        near = keyed.withColumn("_p", _prefix(depth)).join(F.broadcast(marks), [by, "_p"])
+        order = W.partitionBy(by, "_p").orderBy("_h", ident)  # at most leaf_rows rows
+        ranked = near.withColumn("_rank", F.row_number().over(order) + F.col("_before")).drop("_p", "_before")
+        parts.append(ranked.join(F.broadcast(ranks), [by, "_rank"]))
+    if not parts:
+        return keyed.withColumn("_rank", F.lit(0).cast("long")).limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def thresholds(df: DataFrame, by: str, ident: str, seed: int | str, cuts: dict[object, list[int]], sizes: dict, **kw) -> dict:
+    """(class, rank) -> (hash, id) of the row at that rank."""
+    narrow = df.select(by, ident)
+    rows = rows_at_ranks(narrow, by, ident, seed, cuts, sizes, **kw).collect()
+    return {(r[by], r["_rank"]): (r["_h"], r[ident]) for r in rows}
+
+
+def _upto(df: DataFrame, by: str, ident: str, seed: int | str, limits: dict[object, tuple | None]) -> Column:
+    """True for rows at or before their class's threshold; no threshold means no row."""
+    h, i, c = stable_hash(ident, seed), F.col(ident), F.col(by)
+    id_type = df.schema[ident].dataType
+    cond = F.lit(False)
+    for value, limit in limits.items():
+        if limit is None:
+            continue
+        same = c.isNull() if value is None else c == F.lit(value)
+        cond = cond | (same & ((h < F.lit(limit[0])) | ((h == F.lit(limit[0])) & (i <= F.lit(limit[1]).cast(id_type)))))
+    return F.coalesce(cond, F.lit(False))
 
 
 def stratified_split(
-    df: DataFrame, label: str, ident: str, *, seed: int = 42, ratio: tuple[float, float] = (0.70, 0.15), out: str = "split"
+    df: DataFrame, label: str, ident: str, *, seed: int = 42, ratio: tuple[float, float] = (0.70, 0.15), out: str = "split", **kw
 ) -> DataFrame:
-    """Tag rows train / valid / test so that each class is divided in the given ratio."""
-    train, valid = ratio
-    limits = hash_thresholds(
-        df, [label], ident, seed,
-        {
-            "_t_train": F.floor(F.col("_n") * F.lit(train) + F.lit(0.5)),
-            "_t_valid": F.floor(F.col("_n") * F.lit(train + valid) + F.lit(0.5)),
-        },
-    )
-    # one row per class: bounded by the number of labels
-    tagged = _with_point(df, ident, seed).join(F.broadcast(limits), [label], "left")
-    split = (
-        F.when(F.col("_pt") <= F.col("_t_train"), "train")
-        .when(F.col("_pt") <= F.col("_t_valid"), "valid")
-        .otherwise("test")
-    )
-    return tagged.withColumn(out, split).drop("_pt", "_t_train", "_t_valid")
-
-
-def first_by_hash(df: DataFrame, n: int, ident: str, *, by: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """Exactly n rows (or all) per class in hash order: a sample without replacement."""
-    by = by or []
-    limits = hash_thresholds(df, by, ident, seed, {"_t": F.lit(n)})
-    pointed = _with_point(df, ident, seed)
-    if by:
-        joined = pointed.join(F.broadcast(limits), by)
-        return joined.filter(F.col("_pt") <= F.col("_t")).drop("_pt", "_t")
-    row = limits.first()
-    if row is None or row["_t"] is None:
-        return df.limit(0)
-    h, ident_value = row["_t"]
-    lim = F.struct(F.lit(h).cast("long").alias("_h"), F.lit(ident_value).cast(df.schema[ident].dataType).alias("_id"))
-    return pointed.filter(F.col("_pt") <= lim).drop("_pt")
+    """Tag rows train / valid / test so that each class is divided in the given ratio. No full shuffle."""
+    sizes = class_sizes(df, label)
+    first = {c: int(n * ratio[0] + 0.5) for c, n in sizes.items()}
+    second = {c: int(n * (ratio[0] + ratio[1]) + 0.5) for c, n in sizes.items()}
+    cuts = {c: [k for k in (first[c], second[c]) if k > 0] for c in sizes}
+    at = thresholds(df, label, ident, seed, cuts, sizes, **kw)
+    train = _upto(df, label, ident, seed, {c: at.get((c, k)) for c, k in first.items()})
+    valid = _upto(df, label, ident, seed, {c: at.get((c, k)) for c, k in second.items()})
+    return df.withColumn(out, F.when(train, "train").when(valid, "valid").otherwise("test"))
+
+
+def first_by_hash(df: DataFrame, n: int, ident: str, *, by: str | None = None, seed: int = 42, **kw) -> DataFrame:
+    """Exactly n rows (or all) per class in hash order: a sample without replacement, found by a filter."""
+    work, key = (df, by) if by else (df.withColumn("_all", F.lit(0)), "_all")
+    sizes = class_sizes(work, key)
+    cuts = {c: [min(n, size)] for c, size in sizes.items() if n > 0}
+    at = thresholds(work, key, ident, seed, cuts, sizes, **kw)
+    picked = work.filter(_upto(work, key, ident, seed, {c: at.get((c, ks[0])) for c, ks in cuts.items()}))
+    return picked if by else picked.drop("_all")
 
 
 def draw_with_replacement(
-    df: DataFrame, draws: DataFrame, ident: str, axis: str, *, by: list[str], draw_key: str, seed: int = 42,
-    slices: int = 512,
+    df: DataFrame, draws: list[dict], ident: str, *, by: str, seed: int | str = 42, order_seed: int | str = "order", **kw
 ) -> DataFrame:
-    """For each row of ``draws`` (class columns + a unique ``draw_key``) one uniformly drawn row of its class.
+    """One uniformly drawn row per draw.
 
-    The drawn position is a hash of the draw modulo the class size. Positions within a class are
-    numbered in ``axis`` order by slices, so a class larger than a task is still numbered in parallel.
+    Each draw is a dict with ``class``, a unique ``key`` and further columns to carry. The rank drawn is
+    a hash of the key modulo the class size; only rows near the drawn ranks are moved.
     """
-    from furnacelens.operators.ordered import _axis_stats, row_positions
-
-    width = _axis_stats(df, axis, slices)
-    numbered = row_positions(df, by, F.col(axis), [axis], "_pos", width=width)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = draws.join(sizes, by).withColumn(
-        "_pos", F.pmod(stable_hash(draw_key, seed), F.col("_n")) + F.lit(1)
-    )
-    return numbered.join(wanted.drop("_n"), [*by, "_pos"]).drop("_pos")
+    import hashlib
+
+    sizes = class_sizes(df, by)
+    rows, wanted = [], {}
+    for d in draws:
+        size = sizes.get(d["class"], 0)
+        if not size:
+            raise ValueError(f"class {d['class']!r} has no rows to draw from")
+        text = f"{d['key']}|{d.get('seed', seed)}"
+        rank = int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % size + 1
+        wanted.setdefault(d["class"], []).append(rank)
+        rows.append({by: d["class"], "_rank": rank, **{k: v for k, v in d.items() if k not in ("class", "key", "seed")}})
+    picked = rows_at_ranks(df, by, ident, order_seed, wanted, sizes, **kw).drop("_h")
+    drawn = df.sparkSession.createDataFrame(rows).withColumn(by, F.col(by).cast(df.schema[by].dataType))
+    return picked.join(F.broadcast(drawn), [by, "_rank"]).drop("_rank")  # one row per draw, made on the driver

@@ -1 +1,47 @@
-"""Queries."""
+"""Streaming and scenario-run queries: the stateful parts and the whole flow."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from furnacelens.functions.scalar import r6
+from furnacelens.operators.features import forest
+from furnacelens.operators.ops_scores import health_score
+from furnacelens.operators.training import score
+from furnacelens.plans.flow import validated_packets
+from furnacelens.registry.base import query, raw, rnd
+from furnacelens.registry.models import FEATURES, fit
+from furnacelens.session import scratch_path
+from furnacelens.sources.files import decode_packets
+from furnacelens.streaming import stateful as ST
+
+COLS = ["CO_CO", "BF_H2"]
+_W = "PARTITION BY asset_id ORDER BY pts, event_id ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
+
+
+@query("stream_order_and_rolling", f"""
+SELECT event_id AS arrival_seq, {rnd(f"avg(CO_CO) OVER ({_W.format(4)})", 'CO_CO_roll_avg_5')}, {rnd(f"stddev_pop(CO_CO) OVER ({_W.format(29)})", 'CO_CO_roll_std_30')},
+  {rnd(f"(BF_H2 - first_value(BF_H2) OVER ({_W.format(4)})) / count(*) OVER ({_W.format(4)})", 'BF_H2_roll_grad_5')}
+FROM (SELECT * EXCLUDE (ts) FROM norm WHERE reason IS NULL)""", ["norm"])
+def stream(spark, sf):
+    """Raw packets through Structured Streaming: order check and rolling statistics with per-asset state."""
+    folder = scratch_path(spark, "packets")
+    r = raw(spark, sf)
+    # a stream replays files in arrival order; ranges of the sequence make four of them
+    r.repartitionByRange(4, "arrival_seq").sortWithinPartitions("arrival_seq").write.parquet(folder)
+    ST.use_rocksdb(spark)
+    packets = ST.read_packets(spark, folder, r.schema, files_per_trigger=4)
+    out = ST.ordered_rolling(ST.checked_stream(decode_packets(packets), COLS), COLS, [5, 30], ["avg", "std", "grad"])
+    sink = scratch_path(spark, "stream-out")
+    ST.run_available(out, sink, scratch_path(spark, "stream-state"))
+    names = ["CO_CO_roll_avg_5", "CO_CO_roll_std_30", "BF_H2_roll_grad_5"]
+    return spark.read.schema(out.schema).parquet(sink).select("arrival_seq", *[r6(n).alias(n) for n in names])
+
+
+@query("o10_scenario_run")
+def o10(spark, sf):
+    """Every packet through check, normalise, score and health; rejected packets stay, tagged."""
+    model, _test = fit(spark, sf, forest("label", trees=20, depth=6))
+    tagged = validated_packets(raw(spark, sf)).select("asset_id", "arrival_seq", "ts", "is_valid", "reason", *FEATURES)
+    scored = score(model, tagged)
+    return scored.select("asset_id", "arrival_seq", "is_valid", "reason", "predicted_class", "confidence", health_score().alias("health_score"))
