@@ -39,7 +39,8 @@ def tree_leaves(model_path: str, spark, *, per_class: bool) -> list[tuple]:
     A saved ensemble is a node table whose size is set by trees and depth, never by the data.
     """
     nodes = spark.read.parquet(f"{model_path}/data").select("treeID", "nodeData.*").collect()
-    weights = {r["treeID"]: r["weights"] for r in spark.read.parquet(f"{model_path}/treesMetadata").collect()}
+    # columns are (tree, metadata, weight), by position: their names differ between Spark releases
+    weights = {r[0]: r[2] for r in spark.read.parquet(f"{model_path}/treesMetadata").collect()}
     trees: dict[int, dict[int, object]] = {}
     for n in nodes:
         trees.setdefault(n["treeID"], {})[n["id"]] = n

@@ -18,6 +18,7 @@ from furnacelens.catalogues import (
     SCENARIOS,
 )
 from furnacelens.functions.scalar import gaussian, stable_hash
+from furnacelens.operators.ordered import broadcast_if_small
 from furnacelens.operators.selection import class_sizes, draw_with_replacement, first_by_hash
 
 # Jitter size, its floor, and the texts used when state metadata is absent.
@@ -106,8 +107,7 @@ def ramp_rows(df: DataFrame, ramps: dict[str, tuple[float, float]], first: int,
 def decay_rows(df: DataFrame, columns: Sequence[str], first: int, length: int, *, by: Sequence[str], step: str = "step") -> DataFrame:
     """Fall linearly to zero from the value on the anchor row."""
     anchors = df.filter(F.col(step) == first).select(*by, *[F.col(c).alias(f"_a_{c}") for c in columns])
-    # one anchor row per run of the scenario
-    joined = df.join(F.broadcast(anchors), list(by))
+    joined = df.join(broadcast_if_small(anchors), list(by))  # one anchor row per group
     factor = (F.col(step) - F.lit(first)) / F.lit(float(length))
     made = {
         c: F.when(F.col(step) >= first, F.greatest(F.lit(0.0), F.col(f"_a_{c}") * (F.lit(1.0) - factor))).otherwise(F.col(c))

@@ -207,11 +207,14 @@ def transitions(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def misclassified(df: DataFrame, actual: str, predicted: str, ident: str) -> DataFrame:
-    """Wrong rows with their 1-based position in the full table; positions are numbered by slices."""
+    """Wrong rows with their 1-based position in the full table.
+
+    Only the id column is numbered, slice by slice; the wide rows that move are the wrong ones.
+    """
     from furnacelens.operators.ordered import global_row_number
 
-    numbered = global_row_number(df, ident, "Row_Number")
-    return numbered.filter(F.col(actual) != F.col(predicted))
+    numbered = global_row_number(df.select(ident), ident, "Row_Number")
+    return df.filter(F.col(actual) != F.col(predicted)).join(numbered, ident)
 
 
 def metrics_report(df: DataFrame, label: str = "label", confidence: str = "confidence", **ranking) -> DataFrame:

@@ -34,6 +34,11 @@ def time_axis(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def broadcast_if_small(df: DataFrame, limit: int = PLAN_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting: beyond the limit the join stays a shuffle that AQE can split."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 @dataclass
 class Sliced:
     df: DataFrame

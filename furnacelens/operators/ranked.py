@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furnacelens.operators.ordered import broadcast_if_small
+
 RANK_SLICE_ROWS = 2_000_000
 MAX_SLICES = 4096
 
@@ -66,8 +68,8 @@ def value_runs(
     totals = runs.groupBy("name", "slice").agg(*[F.sum(p).alias(p) for p in parts]).select(
         "name", "slice", *[F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias(f"_off_{p}") for p in parts]
     )
-    # names x slices rows: bounded by MAX_SLICES per name
-    joined = local.join(F.broadcast(totals), ["name", "slice"])
+    # names x slices rows
+    joined = local.join(broadcast_if_small(totals), ["name", "slice"])
     return joined.select(
         "name", "value", *parts, *[(F.col(f"{p}_before") + F.col(f"_off_{p}")).alias(f"{p}_before") for p in parts]
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furnacelens.catalogues import RULE_FIELDS
 from furnacelens.constants import FLAG_TOKENS, RULE_FLAG_COLUMNS, SENSOR_LIMITS
@@ -12,6 +13,7 @@ from furnacelens.sources.files import load_rules
 # Fallback limits and the text used when nothing is triggered.
 FALLBACK_LIMITS = {"R004": 3.0, "R011": 3.0, "R016": 0.5}
 ROUTINE_ACTION = "Routine Monitoring"
+NUMERIC_START = r"(?i)^\s*[-+]?(\d|\.|inf|nan)"
 OUTPUT_FIELDS = {
     "rule_id": "rule_id", "rule_name": "rule_name", "process_area": "process_area",
     "hazard_category": "hazard_category", "compound_risk_reason": "description", "risk_level": "severity",
@@ -24,18 +26,25 @@ def has_rule_flags(df: DataFrame) -> bool:
     return any(c in df.columns for c in RULE_FLAG_COLUMNS)
 
 
-def is_triggered(value: Column) -> Column:
+def is_triggered(value: Column, numeric: bool = False) -> Column:
+    """At least 0.5 as a number, else one of the yes words. Words are told from numbers by a pattern
+    first: a failed text-to-number cast is many times dearer than a match."""
+    if numeric:
+        number = value.cast("double")
+        return F.coalesce((number >= 0.5) & ~F.isnan(number), F.lit(False))
     text = value.cast("string")
-    number = text.try_cast("double")
-    return F.coalesce(
-        F.when(number.isNotNull(), number >= 0.5).otherwise(F.lower(F.trim(text)).isin(*FLAG_TOKENS)), F.lit(False)
-    )
+    number = F.when(text.rlike(NUMERIC_START), text.try_cast("double"))
+    by_number = (number >= 0.5) & ~F.isnan(number)
+    return F.coalesce(F.when(number.isNotNull(), by_number).otherwise(F.lower(F.trim(text)).isin(*FLAG_TOKENS)), F.lit(False))
 
 
 def flag_rule_ids(df: DataFrame) -> Column:
     """Array of triggered rule ids from the flag columns, in catalogue order."""
     present = [c for c in RULE_FLAG_COLUMNS if c in df.columns]
-    return F.array_compact(F.array(*[F.when(is_triggered(F.col(c)), F.lit(c[len("Rule_"):])) for c in present]))
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    return F.array_compact(F.array(*[
+        F.when(is_triggered(F.col(c), c in numeric), F.lit(c[len("Rule_"):])) for c in present
+    ]))
 
 
 def fallback_predicates() -> dict[str, Column]:

@@ -101,6 +101,8 @@ def a11(spark, sf):
 @query("k18_misclassified_rows")
 def k18(spark, sf):
     scored, _leaves = explained(spark, sf)
+    # numbering reads the table more than once; the scored rows are written so that scoring is not repeated
+    scored = materialise(scored.select("event_id", "Future_Risk_Level", "predicted_class", "confidence", "top_text", "actions"), "scored")
     wrong = K.misclassified(scored, "Future_Risk_Level", "predicted_class", "event_id")
     return wrong.select("Row_Number", "event_id", F.col("Future_Risk_Level").alias("actual"), "predicted_class", "confidence", "top_text", "actions")
 

@@ -217,3 +217,19 @@ def h19(spark, sf):
     t = stratified_split(labelled(spark, sf), "Future_Risk_Level", "event_id")
     sub = t.select("split", *[c for c in chosen if c in t.columns])
     return sub.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), r6(F.avg("CO_CO")).alias("CO_CO"), r6(F.avg("BF_H2")).alias("BF_H2"))
+
+
+@query("a13_report_tables", " UNION ALL ".join(
+    f"SELECT 'cleaning' AS report, '{c}' AS item, count(*) - count({c}) AS n FROM {DIRTY}" for c in _PROFILED
+) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'catalogue', '{c}', count(DISTINCT {c}) FROM {DIRTY}" for c in ("Shift_Type", "Worker_Count", "event_id")))
+def a13(spark, sf):
+    """Cleaning and catalogue reports written as tables and read back."""
+    from furnacelens.operators.features import feature_catalogue
+    from furnacelens.session import materialise
+
+    t = dirty(spark, sf)
+    cleaning = materialise(P.fit_cleaning(t.select(*_PROFILED)).report(t), "cleaning-report")
+    catalogue = materialise(feature_catalogue(t.select("Shift_Type", "Worker_Count", "event_id")), "catalogue")
+    return cleaning.select(F.lit("cleaning").alias("report"), F.col("column").alias("item"), F.col("null_count").alias("n")).unionByName(
+        catalogue.select(F.lit("catalogue").alias("report"), F.col("Feature_Name").alias("item"), F.col("Unique_Values").alias("n")))

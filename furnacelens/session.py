@@ -18,6 +18,8 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # wide projections: above 8000 bytes the JIT leaves a generated method interpreted
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # call-site capture costs several driver round trips per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
