@@ -209,12 +209,15 @@ def transitions(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def misclassified(df: DataFrame, actual: str, predicted: str, ident: str) -> DataFrame:
     """Wrong rows with their 1-based position in the full table.
 
-    Only the id column is numbered, slice by slice; the wide rows that move are the wrong ones.
+    Only the id column is numbered, slice by slice; the wide rows that move are the wrong ones. They are
+    written first: scoring then runs once, and its expressions stay out of the join's plan.
     """
     from furnacelens.operators.ordered import global_row_number
+    from furnacelens.session import materialise
 
+    wrong = materialise(df.filter(F.col(actual) != F.col(predicted)), "misclassified-rows")
     numbered = global_row_number(df.select(ident), ident, "Row_Number")
-    return df.filter(F.col(actual) != F.col(predicted)).join(numbered, ident)
+    return wrong.join(numbered, ident)
 
 
 def metrics_report(df: DataFrame, label: str = "label", confidence: str = "confidence", **ranking) -> DataFrame:

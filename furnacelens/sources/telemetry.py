@@ -78,9 +78,10 @@ def with_label(df: DataFrame, out: str = "Future_Risk_Level") -> DataFrame:
         ramp("CO_Steam_Temperature", 240, 320),
         F.when((F.col("Ambient_Temp") > 42) | (F.col("Ambient_Temp") < 8), F.lit(100.0)).otherwise(F.lit(0.0)),
     )
-    # one reference to the hazard: a CASE would repeat the whole expression per class
-    reached = F.size(F.filter(F.array(F.lit(40.0), F.lit(70.0), F.lit(90.0)), lambda limit: limit <= hazard))
-    return df.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in RISK_CLASSES]), reached + F.lit(1)))
+    # limits at 40, 70 and 90 as a table by tens: the hazard is referenced once, a CASE would repeat it
+    by_tens = [RISK_CLASSES[(t >= 4) + (t >= 7) + (t >= 9)] for t in range(11)]
+    tens = F.floor(hazard / F.lit(10.0)).cast("int")
+    return df.withColumn(out, F.element_at(F.array(*[F.lit(c) for c in by_tens]), tens + F.lit(1)))
 
 
 def raw_packets(events: DataFrame) -> DataFrame:
