@@ -12,7 +12,6 @@ Skew: (window, document) rows are distinct and combine before the shuffle; the j
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
