@@ -231,15 +231,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     bodies = materialise(_bodies(docs, keys.select("rep").distinct(), k), "bodies")
     fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    tested = links = None
+    tested = None
     comp = spark.createDataFrame([], "node long, comp long")
 
     def test(pairs):
-        nonlocal tested, links, comp
+        nonlocal tested, comp
         if tested is not None:
             pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
         new = materialise(_verify(pairs, bodies, num, den), "verified")
         tested = new if tested is None else tested.unionByName(new)
+        if new.filter("linked").isEmpty():
+            return
         comp = materialise(components(tested.filter("linked").select("u", "v")), "components")
 
     for turn in range(ROUNDS):

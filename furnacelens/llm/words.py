@@ -1,6 +1,6 @@
 """Word and window hashes over Arrow text columns: numpy kernels shared by the operators.
 
-Texts are never cut: a batch is handled in row slices of a few MB, one long text is a slice of its own.
+Texts are never cut: a batch is handled in row slices of half a MB, one long text is a slice of its own.
 Hashes are 64-bit polynomial sums over random byte values, mixed afterwards; equal words give equal hashes.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 ASCII_SPACE = np.zeros(256, bool)
 ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
