@@ -9,9 +9,10 @@ small to tell sets apart are never indexed; spare segments make up for them, and
 also index the combinations of them, so nothing is lost.
 
 Equal sets are one class from the start. Signatures that occur once go by the count-min sketch; in a class of equal
-signatures each set is verified against one pivot, then linked sets share a component, and only groups that still hold
-several components go on: small ones compare what is left, large ones are partitioned again with another hash.
-Nothing is capped: the last round compares all that is left.
+signatures sets are verified against a pivot, linked sets share a component, and only groups that still hold several
+components go on, with other pivots against the other components. What is left of a group is then compared pair by
+pair across its components where that is linear in its size; other groups are partitioned again with another hash.
+Nothing is capped: the last partition compares all that is left.
 
 Defined cases. Null text or no words: empty set, linked with nothing, its own component. Fewer words than a shingle:
 the whole sequence is the one shingle. Rows with one id are one node. A row with null id takes the component of an
@@ -21,7 +22,7 @@ equal set, else null, and links nothing itself. Other columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ from furnacelens.llm.words import LOWER, NON_SPACE, U, distinct_by, mix, salted,
 from furnacelens.session import materialise
 
 SPARE = 2  # segments beyond H + 1 where theta is 0
-SMALL_GROUP = 16  # sets with one signature whose remaining pairs are compared directly
-ROUNDS = 6
+PIVOTS = 1  # further pivots tried before the remaining pairs of a group are compared
+SMALL_GROUP = 64  # remaining pairs per set of a group, beyond which it is partitioned again
+SEEDS = 3  # partitions of a group, the last of which compares whatever is left
 
 
 def shingles(column: pa.Array, k: int):
@@ -244,22 +246,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             return
         comp = materialise(components(tested.filter("linked").select("u", "v")), "components")
 
-    for turn in range(ROUNDS):
-        pivot = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("p"), F.col("n").alias("m"))).alias("x"))
-        test(keys.join(pivot.select("key", "x.p", "x.m"), "key").filter("rep <> p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct())
-        open_ = keys.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        size = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
-        open_ = materialise(open_.join(size, "key"), "open")
-        limit = SMALL_GROUP if turn < ROUNDS - 1 else 1 << 62
-        near = open_.filter(F.col("size") <= limit)
-        far = open_.filter(F.col("size") > limit)
+    seed = 0
+    for turn in count():
+        named = keys.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        pivot = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("p"), F.col("n").alias("m"), "comp")).alias("x"))
+        pivot = pivot.select("key", "x.p", "x.m", F.col("x.comp").alias("comp_p"))
+        test(named.join(pivot, "key").filter("comp <> comp_p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct())
+        named = keys.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+        size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"))
+        size = size.filter("comps > 1").select("key", ((F.col("size") * F.col("size") - F.col("same")) / 2 <= F.col("size") * (SMALL_GROUP if seed < SEEDS else 1 << 30)).alias("near"))
+        keys = materialise(named.join(size, "key"), "open")
+        if turn < PIVOTS and not keys.isEmpty():
+            keys = keys.select("key", "rep", "n")
+            continue
+        near = keys.filter("near")
         other = near.select("key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("comp").alias("comp_p"))
-        rest = near.join(other, "key").filter("rep < p AND comp <> comp_p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct()
-        if not near.isEmpty():
-            test(rest)
-        if far.isEmpty():
+        test(near.join(other, "key").filter("comp < comp_p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct())
+        keys = keys.filter("NOT near")
+        if keys.isEmpty():
             break
-        keys = materialise(_rekey(far, bodies, schemes, turn + 1), "keys")
+        seed += 1
+        keys = materialise(_rekey(keys, bodies, schemes, seed), "keys")
     whole = sets.join(classes.select("s", "t", "rep"), ["s", "t"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("comp", "rep"))
     return whole.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
