@@ -74,7 +74,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int, bi
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, bits: int = sketch.BITS) -> DataFrame:
     """(id, kept text, n_words, n_removed) of every row."""
     found = repeated_windows(docs, id_col, text_col, width, bits)
-    first = found.groupBy("h", "g").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    first = found.groupBy("h", "g").agg(F.min("doc").alias("least"))
     late = found.join(first, ["h", "g"]).filter("doc > least").groupBy("doc").agg(F.collect_list("h").alias("hits"))
     base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 

@@ -85,7 +85,7 @@ def build(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Itera
     of them sends a sketch.
     """
     spark = source.sparkSession
-    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
+    tasks = tasks or spark.sparkContext.defaultParallelism
 
     def counted(batches):
         part = Partial(bits)
