@@ -30,4 +30,5 @@ def components(links: DataFrame) -> DataFrame:
         was, mark = mark, _mark(e)
         if was == mark:
             break
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
+    both = e.unionByName(e.select(F.col("v").alias("u"), "v"))
+    return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
