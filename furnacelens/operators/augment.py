@@ -105,15 +105,15 @@ def ramp_rows(df: DataFrame, ramps: dict[str, tuple[float, float]], first: int,
 
 
 def decay_rows(df: DataFrame, columns: Sequence[str], first: int, length: int, *, by: Sequence[str], step: str = "step") -> DataFrame:
-    """Fall linearly to zero from the value on the anchor row."""
-    anchors = df.filter(F.col(step) == first).select(*by, *[F.col(c).alias(f"_a_{c}") for c in columns])
-    joined = df.join(broadcast_if_small(anchors), list(by))  # one anchor row per group
+    """Fall linearly to zero from the value on the anchor row; a group without one keeps its values."""
+    anchors = df.filter(F.col(step) == first).select(*by, F.lit(True).alias("_has_anchor"), *[F.col(c).alias(f"_a_{c}") for c in columns])
+    joined = df.join(broadcast_if_small(anchors), list(by), "left")  # one anchor row per group at most
     factor = (F.col(step) - F.lit(first)) / F.lit(float(length))
     made = {
-        c: F.when(F.col(step) >= first, F.greatest(F.lit(0.0), F.col(f"_a_{c}") * (F.lit(1.0) - factor))).otherwise(F.col(c))
+        c: F.when((F.col(step) >= first) & F.col("_has_anchor"), F.greatest(F.lit(0.0), F.col(f"_a_{c}") * (F.lit(1.0) - factor))).otherwise(F.col(c))
         for c in columns
     }
-    return joined.withColumns(made).drop(*[f"_a_{c}" for c in columns])
+    return joined.withColumns(made).drop("_has_anchor", *[f"_a_{c}" for c in columns])
 
 
 def override_rows(df: DataFrame, values: dict[str, object], first: int = 0, step: str = "step") -> DataFrame:

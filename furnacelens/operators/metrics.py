@@ -38,9 +38,15 @@ def score_columns(df: DataFrame, probs: list[str] = PROBS) -> DataFrame:
 
 
 def confusion_long(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """All cells of the matrix as rows, empty ones included."""
+    """All cells of the matrix as rows, empty ones included. A null or unknown class stops the job."""
     spark = df.sparkSession
-    counts = df.groupBy(F.col(label).cast("int").alias("label"), F.col(prediction).cast("int").alias("prediction")).agg(
+    stop = F.raise_error(F.lit("null or unknown class among labels or predictions")).cast("int")
+
+    def known(c: str) -> Column:
+        # inside the grouping key, where no filter the optimizer infers can get ahead of it
+        return F.when(F.col(c).cast("int").isin(list(CLASSES)), F.col(c).cast("int")).otherwise(stop)
+
+    counts = df.groupBy(known(label).alias("label"), known(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n")
     )
     grid = spark.createDataFrame([(a, b) for a in CLASSES for b in CLASSES], "label int, prediction int")

@@ -100,7 +100,11 @@ def slice_keys(
         local = plan.limit(PLAN_BROADCAST_ROWS + 1).toArrow()
         if local.num_rows == 0:
             return Sliced(df, list(keys), False)
-        if max(local.column("_sl_n").to_pylist()) <= 4 * slice_rows or width == 1:
+        if local.num_rows <= PLAN_BROADCAST_ROWS:
+            fullest = max(local.column("_sl_n").to_pylist())
+        else:  # more cells than were read: the fullest of the whole plan decides
+            fullest = plan.agg(F.max("_sl_n")).first()[0]
+        if fullest <= 4 * slice_rows or width == 1:
             break
         width = max(1, width // 64)  # a burst: cut the axis finer until the fullest cell fits
     if carry_max:

@@ -29,6 +29,13 @@ def class_sizes(df: DataFrame, by: str) -> dict:
     return {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
+def _beside(rows: DataFrame, small: DataFrame, by: str, other: str) -> DataFrame:
+    """Inner join on (by, other) with a table bounded by the wanted ranks; a null class meets itself."""
+    small = small.withColumnsRenamed({by: "_by", other: "_other"})
+    met = rows.join(F.broadcast(small), F.col(by).eqNullSafe(F.col("_by")) & (F.col(other) == F.col("_other")))
+    return met.drop("_by", "_other")
+
+
 def rows_at_ranks(
     df: DataFrame, by: str, ident: str, seed: int | str, wanted: dict[object, list[int]], sizes: dict, *, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
@@ -53,7 +60,7 @@ def rows_at_ranks(
         marks = spark.createDataFrame([(c, p, b) for (c, p), (b, _n) in large.items()], schema)
         counted = (
             keyed.select(by, _prefix(level).alias("_p"), _prefix(level + 1).alias("_next"))
-            .join(F.broadcast(marks.drop("_before")), [by, "_p"])  # at most one entry per wanted rank
+            .transform(lambda rows: _beside(rows, marks.drop("_before"), by, "_p"))  # at most one entry per wanted rank
             .groupBy(by, "_p", "_next").agg(F.count(F.lit(1)).alias("n"))
         )
         found: dict[tuple, list] = {}
@@ -71,10 +78,10 @@ def rows_at_ranks(
     parts = []
     for depth, groups in leaves:
         marks = spark.createDataFrame([(c, p, b) for (c, p), (b, _n) in groups.items()], schema)
-        near = keyed.withColumn("_p", _prefix(depth)).join(F.broadcast(marks), [by, "_p"])
+        near = _beside(keyed.withColumn("_p", _prefix(depth)), marks, by, "_p")
         order = W.partitionBy(by, "_p").orderBy("_h", ident)  # at most leaf_rows rows
         ranked = near.withColumn("_rank", F.row_number().over(order) + F.col("_before")).drop("_p", "_before")
-        parts.append(ranked.join(F.broadcast(ranks), [by, "_rank"]))
+        parts.append(_beside(ranked, ranks, by, "_rank"))
     if not parts:
         return keyed.withColumn("_rank", F.lit(0).cast("long")).limit(0)
     out = parts[0]

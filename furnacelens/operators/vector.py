@@ -72,8 +72,8 @@ def check_features(df: DataFrame, features: Sequence[str], *, mode: str = "fail"
     if mode == "tag":
         return df.withColumn("bad_feature", first_bad)
     stop = F.raise_error(F.concat(F.lit("not a finite number in feature: "), first_bad))
-    guarded = F.when(first_bad.isNotNull(), stop.cast("double")).otherwise(F.col(f"`{features[0]}`"))
-    return df.withColumn(features[0], guarded)
+    # a filter, unlike a column, stays when columns are pruned
+    return df.filter(F.when(first_bad.isNotNull(), stop.cast("boolean")).otherwise(F.lit(True)))
 
 
 def to_vector(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:

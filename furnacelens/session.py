@@ -28,9 +28,12 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh one only where it is unset."""
+    """The folder named in spark.checkpoint.dir; a fresh one only where it is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="furnacelens-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -87,9 +87,10 @@ def footprint_mb(df: DataFrame) -> DataFrame:
 
 
 def decode_packets(raw: DataFrame, column: str = "payload", out: str = "packet") -> DataFrame:
-    """JSON text to a string map; text that is not a JSON object becomes null."""
+    """JSON text to a string map; text that is not one whole JSON object becomes null."""
     parsed = F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"})
-    opens = F.trim(column).startswith("{") & F.trim(column).endswith("}")
+    alone = F.json_array_length(F.concat(F.lit("["), F.col(column), F.lit("]"))) == 1  # null where anything else stands beside it
+    opens = F.trim(column).startswith("{") & F.trim(column).endswith("}") & alone
     return raw.withColumn(out, F.when(opens, parsed))
 
 
