@@ -8,11 +8,17 @@ decided by cost from the corpus' own size histogram (index entries against expec
 small to tell sets apart are never indexed; spare segments make up for them, and sets with more of those than spares
 also index the combinations of them, so nothing is lost.
 
-Equal sets are one class from the start. Signatures that occur once go by the count-min sketch; in a class of equal
-signatures sets are verified against a pivot, linked sets share a component, and only groups that still hold several
-components go on, with other pivots against the other components. What is left of a group is then compared pair by
-pair across its components where that is linear in its size; other groups are partitioned again with another hash.
-Nothing is capped: the last partition compares all that is left.
+Equal sets are one class from the start. Signatures that occur once go by the count-min sketch. Groups of equal
+signatures with few pairs across components are compared pair by pair; in the others every set is measured against the
+pivot of its group, the set with the most repeated signatures, so that the groups of one text's near copies share one
+pivot. Likeness is a metric, so a linked pair lies within the pivot's near sets (likeness 1/2 or more) or within its far
+sets (1/2 plus the most that a link allows, or less). Far sets keep their group and are later partitioned again with
+another hash. Near sets are known by their difference d from the pivot: sets x and y link if and only if
+e(x) + e(y) <= 2 (den + num) |d(x) & d(y)|, where e = (den + num) |d| - (den - num) |set|. All that reach this with an
+empty intersection link to the set of least e; a pair that does not needs common tokens in its differences, so the
+tokens in a prefix of d (single ones first, then those the pivot lacks) are the groups of the next turn. So a thousand
+copies with edits of their own cost a thousand measurements and no pairs.
+Nothing is capped: the last turn compares all that is left.
 
 Defined cases. Null text or no words: empty set, linked with nothing, its own component. Fewer words than a shingle:
 the whole sequence is the one shingle. Rows with one id are one node. A row with null id takes the component of an
@@ -35,9 +41,8 @@ from furnacelens.llm.words import LOWER, NON_SPACE, U, distinct_by, mix, salted,
 from furnacelens.session import materialise
 
 SPARE = 2  # segments beyond H + 1 where theta is 0
-PIVOTS = 1  # further pivots tried before the remaining pairs of a group are compared
-SMALL_GROUP = 64  # remaining pairs per set of a group, beyond which it is partitioned again
-SEEDS = 3  # partitions of a group, the last of which compares whatever is left
+FEW_PAIRS = 2  # pairs across components per set of a group, up to which they are compared at once
+TURNS = 4  # pivots of a group; what is left after the last one is compared whatever its size
 
 
 def shingles(column: pa.Array, k: int):
@@ -178,23 +183,77 @@ def _bodies(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return docs.join(wanted.select(F.col("rep").alias("doc")), "doc").select("doc", "text").mapInArrow(of, "rep long, n long, body binary")
 
 
-def _verify(pairs: DataFrame, bodies: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v, linked) of every pair (u, v), by exact intersection."""
+def _with_bodies(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs (u, v, ...) with the bodies of both."""
+    x = bodies.select(F.col("rep").alias("u"), F.col("body").alias("bu"))
+    y = bodies.select(F.col("rep").alias("v"), F.col("body").alias("bv"))
+    return pairs.join(x, "u").join(y, "v")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
+def _measure(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(u, v, m, n, same): set sizes and the exact intersection of every pair (u, v)."""
     def of(batches):
         for b in batches:
-            linked = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), U) for z in (x, y))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                same = 0
-                if den * len(x) >= num * len(y):
-                    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                linked.append(den * same >= num * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
+            sets = [[np.frombuffer(z.as_buffer(), U) for z in b.column(i)] for i in (2, 3)]
+            m, n = (pa.array([len(x) for x in s], pa.int64()) for s in sets)
+            same = pa.array([_common(x, y) for x, y in zip(*sets)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), m, n, same], ["u", "v", "m", "n", "same"])
 
-    x = bodies.select(F.col("rep").alias("u"), F.col("body").alias("bu"))
-    y = bodies.select(F.col("rep").alias("v"), F.col("body").alias("bv"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "bu", "bv").mapInArrow(of, "u long, v long, linked boolean")
+    return _with_bodies(pairs, bodies).select("u", "v", "bu", "bv").mapInArrow(of, "u long, v long, m long, n long, same long")
+
+
+def _differences(near: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(p, rep, n, need, added, removed): how each set differs from its pivot p."""
+    def of(batches):
+        for b in batches:
+            added, removed = [], []
+            for x, y in zip(b.column(4), b.column(5)):
+                p, x = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                added.append(np.setdiff1d(x, p, assume_unique=True).tobytes())
+                removed.append(np.setdiff1d(p, x, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(added, pa.binary()), pa.array(removed, pa.binary())], ["p", "rep", "n", "need", "added", "removed"])
+
+    joined = _with_bodies(near.select(F.col("p").alias("u"), F.col("rep").alias("v"), "n", "need"), bodies)
+    return joined.select("u", "v", "n", "need", "bu", "bv").mapInArrow(of, "p long, rep long, n long, need long, added binary, removed binary")
+
+
+def _common_differences(d: DataFrame, bits: int) -> DataFrame:
+    """(key, rep, n): a group per pivot and token; sets with ``need`` common tokens in their differences share one.
+
+    Every set takes all but the last need - 1 tokens of its difference under one order per pivot: tokens estimated
+    single, then tokens the pivot lacks, then tokens of the pivot. Single tokens make no group.
+    """
+    def tokens(b):
+        for p, added, removed in zip(b.column(0).to_numpy().view(U), b.column(4), b.column(5)):
+            name = mix(np.array([p], U) + U(5))
+            yield [mix(np.frombuffer(x.as_buffer(), U) ^ name) for x in (added, removed)]
+
+    def keys(batches):
+        for b in batches:
+            for pair in tokens(b):
+                yield np.concatenate(pair)
+
+    seen = sketch.build(d, keys, bits)
+
+    def of(batches):
+        for b in batches:
+            found, rows = [], []
+            for i, (pair, need) in enumerate(zip(tokens(b), b.column(3).to_pylist())):
+                several = [np.sort(x[sketch.repeated(seen.value, x)]) for x in pair]
+                several = np.concatenate(several)
+                found.append(several[: max(0, len(several) - need + 1)])
+                rows.append(np.full(len(found[-1]), i))
+            if not rows:
+                continue
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), b.column(1).take(at), b.column(2).take(at)], ["key", "rep", "n"])
+
+    return d.mapInArrow(of, "key long, rep long, n long")
 
 
 def _rekey(keys: DataFrame, bodies: DataFrame, schemes: Schemes, seed: int) -> DataFrame:
@@ -211,10 +270,6 @@ def _rekey(keys: DataFrame, bodies: DataFrame, schemes: Schemes, seed: int) -> D
     return keys.join(bodies.select("rep", "body"), "rep").select("key", "rep", "n", "body").mapInArrow(of, "key long, rep long, n long").distinct()
 
 
-def _ordered_pairs(x: str, y: str) -> list:
-    return [F.least(x, y).alias("u"), F.greatest(x, y).alias("v")]
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, bits: int = sketch.BITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -232,41 +287,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found.join(several, "key").groupBy("key", "s", "t").agg(F.lit(1).alias("one")).join(classes.filter("rep IS NOT NULL"), ["s", "t"]).select("key", "rep", "n"), "keys"
     )
     bodies = materialise(_bodies(docs, keys.select("rep").distinct(), k), "bodies")
-    fits = F.expr(f"{den} * least(n, m) >= {num} * greatest(n, m)")
-    tested = None
-    comp = spark.createDataFrame([], "node long, comp long")
-
-    def test(pairs):
-        nonlocal tested, comp
-        if tested is not None:
-            pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        new = materialise(_verify(pairs, bodies, num, den), "verified")
-        tested = new if tested is None else tested.unionByName(new)
-        if new.filter("linked").isEmpty():
-            return
-        comp = materialise(components(tested.filter("linked").select("u", "v")), "components")
-
-    seed = 0
+    links = comp = None
+
+    def link(new):
+        nonlocal links, comp
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            comp = materialise(components(links), "components")
+
+    def compare(keys):
+        x = keys.select("key", F.col("rep").alias("u"), F.col("n").alias("m"), F.col("comp").alias("c"))
+        pairs = x.join(keys, "key").filter("c < comp").filter(f"{den} * least(n, m) >= {num} * greatest(n, m)")
+        pairs = pairs.select(F.least("u", "rep").alias("u"), F.greatest("u", "rep").alias("v")).distinct()
+        found = materialise(_measure(pairs, bodies), "compared")
+        link(found.filter(f"{den} * same >= {num} * (m + n - same)").select("u", "v"))
+
+    def still_open(keys, every):
+        named = keys.withColumn("comp", F.col("rep")) if comp is None else keys.join(
+            comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
+            F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"))
+        few = F.lit(True) if every else F.expr(f"size * size - same <= {2 * FEW_PAIRS} * size")
+        return materialise(named.join(size.filter("comps > 1").select("key", few.alias("few")), "key").select("key", "rep", "n", "comp", "few"), "open")
+
     for turn in count():
-        named = keys.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        pivot = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("p"), F.col("n").alias("m"), "comp")).alias("x"))
-        pivot = pivot.select("key", "x.p", "x.m", F.col("x.comp").alias("comp_p"))
-        test(named.join(pivot, "key").filter("comp <> comp_p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct())
-        named = keys.join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"))
-        size = size.filter("comps > 1").select("key", ((F.col("size") * F.col("size") - F.col("same")) / 2 <= F.col("size") * (SMALL_GROUP if seed < SEEDS else 1 << 30)).alias("near"))
-        keys = materialise(named.join(size, "key"), "open")
-        if turn < PIVOTS and not keys.isEmpty():
-            keys = keys.select("key", "rep", "n")
-            continue
-        near = keys.filter("near")
-        other = near.select("key", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("comp").alias("comp_p"))
-        test(near.join(other, "key").filter("comp < comp_p").filter(fits).select(*_ordered_pairs("rep", "p")).distinct())
-        keys = keys.filter("NOT near")
+        groups = still_open(keys, turn == TURNS)
+        few, keys = groups.filter("few"), groups.filter("NOT few")
+        if not few.isEmpty():
+            compare(few)
         if keys.isEmpty():
             break
-        seed += 1
-        keys = materialise(_rekey(keys, bodies, schemes, seed), "keys")
+        weight = keys.groupBy("rep").agg(F.count("*").alias("w"))
+        pivot = keys.join(weight, "rep").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("p"), F.col("n").alias("m"))).alias("x")).select("key", "x.p", "x.m")
+        named = keys.join(pivot, "key").select("key", "rep", "n", "p", "m")
+        close = F.expr("2 * least(n, m) >= greatest(n, m)")  # else the set is far without measuring
+        measured = materialise(_measure(named.filter(close).select(F.col("p").alias("u"), F.col("rep").alias("v")).distinct(), bodies), "measured")
+        e = F.expr(f"{den + num} * (m + n - 2 * same) - {den - num} * n")
+        near = measured.filter("3 * same >= m + n").select(F.col("u").alias("p"), F.col("v").alias("rep"), "n", e.alias("e"))
+        least = near.groupBy("p").agg(F.min(F.struct("e", "rep")).alias("x"), F.max("e").alias("most")).select("p", F.col("x.e").alias("e0"), F.col("x.rep").alias("r0"), "most")
+        near = materialise(near.join(least, "p"), "near")
+        link(near.filter("e + e0 <= 0 AND rep <> r0").select(F.col("rep").alias("u"), F.col("r0").alias("v")))
+        # the common tokens without which a set has no further link
+        need = F.expr(f"CASE WHEN e + e0 <= 0 THEN floor((e - e0) / {2 * (den + num)}) + 1 ELSE ceil((e + e0) / {2 * (den + num)}) END").cast("long")
+        unlinked = near.filter("most + e0 > 0").withColumn("need", need).filter(f"need * {den + num} <= e + {den - num} * n")
+        d = materialise(_differences(unlinked, bodies), "differences")
+        far = named.join(measured.filter(f"2 * {den} * same >= {3 * den - 2 * num} * (m + n - same)").select(F.col("u").alias("p"), F.col("v").alias("rep")), ["p", "rep"], "left_anti").select("key", "rep", "n")
+        if turn:
+            far = _rekey(far, bodies, schemes, turn)
+        keys = materialise(far.unionByName(_common_differences(d, bits)), "keys")
+    comp = spark.createDataFrame([], "node long, comp long") if comp is None else comp
     whole = sets.join(classes.select("s", "t", "rep"), ["s", "t"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("comp", "rep"))
     return whole.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -228,6 +228,39 @@ def test_jaccard_odd_rows(odd, none):
     assert {(2, 2), (3, 3), (4, 4), (5, 4), (9, 4), (1, 1)} <= rows and op8_ngram_jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("few,turns", [(0, 4), (2, 4), (0, 1)])
+def test_jaccard_families_of_near_copies(spark, monkeypatch, few, turns):
+    rng = np.random.default_rng(3)
+    texts = []
+    for length in (60, 150):
+        base = [f"w{length}x{i}" for i in range(length)]
+        drops = rng.choice(length, 6, replace=False)
+        for i in range(120):
+            words = list(base)
+            for at in rng.choice(length, rng.integers(0, 6 if length == 60 else 11), replace=False):
+                words[at] = f"n{i}x{at}"
+            for at in sorted(rng.choice(drops, rng.integers(0, 3), replace=False), reverse=True):
+                del words[at]
+            texts.append(" ".join(words[rng.integers(0, length // 3) if i % 10 == 0 else 0 :]))
+    texts += [" ".join([*[f"p{i}" for i in range(30)], *[f"o{j}x{i}" for i in range(40)]]) for j in range(40)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)})
+    comp = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 100 * same >= 85 * (len(sets[i]) + len(sets[j]) - same) and comp[i] != comp[j]:
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    monkeypatch.setattr(op8_ngram_jaccard, "FEW_PAIRS", few)
+    monkeypatch.setattr(op8_ngram_jaccard, "TURNS", turns)
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op8_ngram_jaccard.jaccard_components(made, bits=20).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, comp))} and 20 < len(set(comp)) < len(comp)
+
+
 def test_both_kinds_of_segments_lose_no_link(monkeypatch):
     rng = np.random.default_rng(5)
     for theta in (0, 1):
