@@ -12,12 +12,12 @@ Equal sets are one class from the start. Signatures that occur once go by the co
 signatures with few pairs across components are compared pair by pair; in the others every set is measured against the
 pivot of its group, the set with the most repeated signatures, so that the groups of one text's near copies share one
 pivot. Likeness is a metric, so a linked pair lies within the pivot's near sets (likeness 1/2 or more) or within its far
-sets (1/2 plus the most that a link allows, or less). Far sets keep their group and are later partitioned again with
-another hash. Near sets are known by their difference d from the pivot: sets x and y link if and only if
+sets (1/2 plus the most that a link allows, or less). Near sets are known by their difference d from the pivot: sets x and y link if and only if
 e(x) + e(y) <= 2 (den + num) |d(x) & d(y)|, where e = (den + num) |d| - (den - num) |set|. All that reach this with an
 empty intersection link to the set of least e; a pair that does not needs common tokens in its differences, so the
-tokens in a prefix of d (single ones first, then those the pivot lacks) are the groups of the next turn. So a thousand
-copies with edits of their own cost a thousand measurements and no pairs.
+tokens in a prefix of d (single ones first, then those the pivot lacks) are the groups of the next turn; far
+sets are taken as differences from the empty set. So a thousand copies with edits of their own cost a thousand
+measurements and no pairs.
 Nothing is capped: the last turn compares all that is left.
 
 Defined cases. Null text or no words: empty set, linked with nothing, its own component. Fewer words than a shingle:
@@ -41,7 +41,7 @@ from furnacelens.llm.words import LOWER, NON_SPACE, U, distinct_by, mix, salted,
 from furnacelens.session import materialise
 
 SPARE = 2  # segments beyond H + 1 where theta is 0
-FEW_PAIRS = 2  # pairs across components per set of a group, up to which they are compared at once
+FEW_PAIRS = 2  # pairs across components per set of a group, up to which they are compared at once; four times as many each turn
 TURNS = 4  # pivots of a group; what is left after the last one is compared whatever its size
 
 
@@ -99,11 +99,11 @@ class Schemes:
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
 
-def signatures(h: np.ndarray, row: np.ndarray, ptr: np.ndarray, schemes: Schemes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, row: np.ndarray, ptr: np.ndarray, schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of all sets under both their schemes."""
     n = np.diff(ptr)
     band = np.searchsorted(schemes.edges, n, "right") - 1
-    value, place = salted(h, 11), salted(h, 1000 + seed)
+    value, place = salted(h, 11), salted(h, 1000)
     out, rows = [], []
     for scheme in (band, band - 1):
         m = np.where((scheme >= 0) & (n > 0), schemes.m[scheme], 0)
@@ -118,7 +118,7 @@ def signatures(h: np.ndarray, row: np.ndarray, ptr: np.ndarray, schemes: Schemes
         np.add.at(total, seg, value[used])
         owner = np.repeat(np.arange(len(m)), m)
         # one name for a segment of a scheme, the same in every set
-        name = salted((scheme[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U), 31 + seed)
+        name = salted((scheme[owner].astype(U) << U(32)) + (np.arange(base[-1]) - base[owner]).astype(U), 31)
         low = size <= theta[owner]
         full = size > 0
         # a lone token of a deletion scheme still meets its equal and a pair less one
@@ -256,20 +256,6 @@ def _common_differences(d: DataFrame, bits: int) -> DataFrame:
     return d.mapInArrow(of, "key long, rep long, n long")
 
 
-def _rekey(keys: DataFrame, bodies: DataFrame, schemes: Schemes, seed: int) -> DataFrame:
-    """Each group partitioned again: (key, rep, n) under another hash, within the old key."""
-    def of(batches):
-        for b in batches:
-            bodies_ = [np.frombuffer(x.as_buffer(), U) for x in b.column(3)]
-            ptr = np.concatenate([[0], np.cumsum([len(x) for x in bodies_])]).astype(np.int64)
-            row = np.repeat(np.arange(len(bodies_)), np.diff(ptr))
-            sig, at = signatures(np.concatenate(bodies_), row, ptr, schemes, seed)
-            old = b.column(0).to_numpy().view(U)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(sig ^ mix(old)))), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))], ["key", "rep", "n"])
-
-    return keys.join(bodies.select("rep", "body"), "rep").select("key", "rep", "n", "body").mapInArrow(of, "key long, rep long, n long").distinct()
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, bits: int = sketch.BITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -302,16 +288,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = materialise(_measure(pairs, bodies), "compared")
         link(found.filter(f"{den} * same >= {num} * (m + n - same)").select("u", "v"))
 
-    def still_open(keys, every):
+    def still_open(keys, turn):
         named = keys.withColumn("comp", F.col("rep")) if comp is None else keys.join(
             comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         size = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(
             F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count("*").alias("comps"))
-        few = F.lit(True) if every else F.expr(f"size * size - same <= {2 * FEW_PAIRS} * size")
+        few = F.lit(True) if turn == TURNS else F.expr(f"size * size - same <= {2 * FEW_PAIRS * 4**turn} * size")
         return materialise(named.join(size.filter("comps > 1").select("key", few.alias("few")), "key").select("key", "rep", "n", "comp", "few"), "open")
 
     for turn in count():
-        groups = still_open(keys, turn == TURNS)
+        groups = still_open(keys, turn)
         few, keys = groups.filter("few"), groups.filter("NOT few")
         if not few.isEmpty():
             compare(few)
@@ -330,11 +316,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # the common tokens without which a set has no further link
         need = F.expr(f"CASE WHEN e + e0 <= 0 THEN floor((e - e0) / {2 * (den + num)}) + 1 ELSE ceil((e + e0) / {2 * (den + num)}) END").cast("long")
         unlinked = near.filter("most + e0 > 0").withColumn("need", need).filter(f"need * {den + num} <= e + {den - num} * n")
-        d = materialise(_differences(unlinked, bodies), "differences")
-        far = named.join(measured.filter(f"2 * {den} * same >= {3 * den - 2 * num} * (m + n - same)").select(F.col("u").alias("p"), F.col("v").alias("rep")), ["p", "rep"], "left_anti").select("key", "rep", "n")
-        if turn:
-            far = _rekey(far, bodies, schemes, turn)
-        keys = materialise(far.unionByName(_common_differences(d, bits)), "keys")
+        # far sets: as differences from the empty set
+        not_far = measured.filter(f"2 * {den} * same >= {3 * den - 2 * num} * (m + n - same)").select(F.col("u").alias("p"), F.col("v").alias("rep"))
+        far = named.select("p", "rep", "n").distinct().join(not_far, ["p", "rep"], "left_anti").join(bodies.select("rep", "body"), "rep")
+        far = far.select(
+            F.xxhash64("p", F.lit("far")).alias("p"), "rep", "n", F.expr(f"({num} * n + {den - 1}) div {den}").alias("need"), F.col("body").alias("added"), F.lit(b"").alias("removed")
+        )
+        d = materialise(_differences(unlinked, bodies).unionByName(far), "differences")
+        keys = materialise(_common_differences(d, bits), "keys")
     comp = spark.createDataFrame([], "node long, comp long") if comp is None else comp
     whole = sets.join(classes.select("s", "t", "rep"), ["s", "t"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("comp", "rep"))
