@@ -46,11 +46,12 @@ def rolling_stats(
 ) -> DataFrame:
     """``{column}_roll_{stat}_{W}`` over the last W rows of the key, the current row included.
 
-    One sort serves every column and window. Only mean and variance re-read their frame, as two plain
-    sums of the distance to the key's first reading (small numbers, so nothing cancels); gradient and
-    rate need just the frame's first value, which is a lag (or, while the key is warming up, its first
-    row). ``extra`` adds ``name: (aggregate, rows)`` on the same sort. The expressions are SQL text:
-    hundreds of columns then cost one call instead of thousands.
+    One sort and one window node serve every column and window; the aggregates of one length share its
+    frame. Mean and variance are the built-in ones, so they skip missing readings and stay exact under
+    drift. A NaN reading is missing, as null is: mean and variance are null where the frame holds no
+    reading, gradient and rate where its first or last row holds none (a lone row gives 0). The divisor of
+    the gradient is the number of rows of the frame. ``extra`` adds ``name: (aggregate, rows)`` on the
+    same sort. The expressions are SQL text: hundreds of columns then cost one call instead of thousands.
     """
     lookback = max([*windows, SAFETY_LAG_ROWS]) - 1
     sliced = _slice(df, key, ts, lookback, slice_rows, width)
@@ -60,41 +61,29 @@ def rolling_stats(
     def last(rows: int) -> str:
         return f"OVER ({order} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
-    need_mean, need_var = bool({"avg", "var", "std"} & set(stats)), bool({"var", "std"} & set(stats))
-    need_first = bool({"grad", "roc"} & set(stats))
-    first_pass = [f"row_number() OVER ({order}) AS _rw_n"]
-    for i, c in enumerate(columns):
-        x = f"CAST({_tick(c)} AS DOUBLE)"
-        first_pass.append(f"first_value({x}) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _rw_h{i}")
-        if need_first:
-            first_pass += [f"lag({x}, {w - 1}) OVER ({order}) AS _rw_l{i}_{w}" for w in windows]
-    first_pass += [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
-    staged = sliced.df.selectExpr("*", *first_pass)
-
-    second_pass = []
-    for i, c in enumerate(columns):
-        gap = f"({_tick(c)} - _rw_h{i})"
+    readings = sliced.df.selectExpr("*", *[f"nullif(CAST({_tick(c)} AS DOUBLE), double('NaN')) AS _rw_x{i}" for i, c in enumerate(columns)])
+    framed = [f"count(1) {last(w)} AS _rw_n{w}" for w in windows]
+    for i in range(len(columns)):
         for w in windows:
-            if need_mean:
-                second_pass.append(f"sum({gap}) {last(w)} AS _rw_s{i}_{w}")
-            if need_var:
-                second_pass.append(f"sum({gap} * {gap}) {last(w)} AS _rw_q{i}_{w}")
-    if second_pass:
-        staged = staged.selectExpr("*", *second_pass)
+            if "avg" in stats:
+                framed.append(f"avg(_rw_x{i}) {last(w)} AS _rw_a{i}_{w}")
+            if {"var", "std"} & set(stats):
+                framed.append(f"var_pop(_rw_x{i}) {last(w)} AS _rw_v{i}_{w}")
+            if {"grad", "roc"} & set(stats):
+                framed.append(f"first_value(_rw_x{i}) {last(w)} AS _rw_f{i}_{w}")
+    framed += [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
+    staged = readings.selectExpr("*", *framed)
 
     made = {}
     for i, c in enumerate(columns):
         for w in windows:
-            n, x = f"CAST(least(_rw_n, {w}) AS DOUBLE)", _tick(c)
-            start = f"(CASE WHEN _rw_n >= {w} THEN _rw_l{i}_{w} ELSE _rw_h{i} END)"
-            mean_gap = f"(_rw_s{i}_{w} / {n})"
-            var = f"greatest(0D, _rw_q{i}_{w} / {n} - {mean_gap} * {mean_gap})"
+            n, x, start = f"_rw_n{w}", f"_rw_x{i}", f"_rw_f{i}_{w}"
             text = {
-                "avg": f"_rw_h{i} + {mean_gap}",
-                "var": var,
-                "std": f"sqrt({var})",
-                "grad": f"CASE WHEN _rw_n > 1 THEN ({x} - {start}) / {n} ELSE 0D END",
-                "roc": f"CASE WHEN _rw_n > 1 THEN try_divide({x} - {start}, {start} + {GRADIENT_GUARD!r}D) ELSE 0D END",
+                "avg": f"_rw_a{i}_{w}",
+                "var": f"_rw_v{i}_{w}",
+                "std": f"sqrt(_rw_v{i}_{w})",
+                "grad": f"CASE WHEN {n} > 1 THEN ({x} - {start}) / {n} ELSE 0D END",
+                "roc": f"CASE WHEN {n} > 1 THEN try_divide({x} - {start}, {start} + {GRADIENT_GUARD!r}D) ELSE 0D END",
             }
             for st in stats:
                 made[f"{c}_roll_{st}_{w}"] = text[st]

@@ -9,6 +9,7 @@ from furnacelens.functions.scalar import r6
 from furnacelens.operators import rolling as E
 from furnacelens.operators.indices import risk_indices
 from furnacelens.operators.ops_scores import health_score
+from furnacelens.operators.ordered import HOUR_MICROS, row_positions, time_axis
 from furnacelens.registry.base import (
     lineitem,
     predictions,
@@ -69,6 +70,26 @@ def e12_sliced(spark, sf):
     return rounded(out, ["event_id"], roll_names(["CO_CO", "BF_H2"], ROLLING_WINDOWS, E.STATS))
 
 
+# missing readings (null, and NaN in the Spark table; the first row of an asset among them) and a strong drift
+GAPS = f"""(SELECT event_id, asset_id, ts, CASE WHEN event_id % 7 = 3 OR n <= 2 THEN NULL ELSE CO_CO + 1e3 * n END AS x
+  FROM (SELECT *, row_number() OVER ({ORDER}) AS n FROM tel))"""
+
+
+@query("e12_rolling_gaps", f"""
+SELECT event_id, {rnd('avg(x) OVER w', 'x_roll_avg_5', 2)}, {rnd('var_pop(x) OVER w', 'x_roll_var_5', 0)},
+  {rnd('CASE WHEN count(*) OVER w > 1 THEN (x - first_value(x) OVER w) / count(*) OVER w ELSE 0e0 END', 'x_roll_grad_5', 3)}
+FROM {GAPS} WINDOW w AS ({ORDER} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
+def e12_gaps(spark, sf):
+    """Nulls, NaN and drift, on uncut and on sliced keys alike."""
+    t = row_positions(telemetry(spark, sf), ["asset_id"], time_axis("ts"), ["ts", "arrival_seq"], "n", width=HOUR_MICROS)
+    missing = F.when(F.col("event_id") % 2 == 0, F.lit(float("nan")))
+    gap = (F.col("event_id") % 7 == 3) | (F.col("n") <= 2)
+    t = t.withColumn("x", F.when(gap, missing).otherwise(F.col("CO_CO") + 1e3 * F.col("n")))
+    out = E.rolling_stats(t, ["x"], [5], ["avg", "var", "grad"], keep=["event_id"], slice_rows=500)
+    return out.select("event_id", r6("x_roll_avg_5", 2).alias("x_roll_avg_5"), r6("x_roll_var_5", 0).alias("x_roll_var_5"),
+                      r6("x_roll_grad_5", 3).alias("x_roll_grad_5"))
+
+
 @query("e06_rolling_lineitem", f"""
 SELECT l_orderkey, l_linenumber, l_suppkey, {rnd('avg(l_extendedprice) OVER w', 'l_extendedprice_roll_avg_15', 4)},
   {rnd('stddev_pop(l_quantity) OVER w', 'l_quantity_roll_std_15')}

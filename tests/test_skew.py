@@ -110,3 +110,25 @@ def test_split_and_sample_by_digits(skewed, leaf_rows):
     assert sample.count() == 77
     ranked = rows_at_ranks(skewed, "asset_id", "arrival_seq", 1, {0: [1, 500, 1000]}, {0: 1000}, leaf_rows=leaf_rows)
     assert sorted(r._rank for r in ranked.collect()) == [1, 500, 1000]
+
+
+@pytest.mark.parametrize("slice_rows", [2_000_000, 60])
+def test_rolling_with_missing_readings_and_drift(spark, slice_rows):
+    """Null first reading, NaN and null inside, a drift of a million a row: as numpy has it, cut or not."""
+    n = 200
+    x = [None if i in (0, 50, 51) else float("nan") if i in (1, 90) else 1e6 * i + i % 3 for i in range(n)]
+    df = spark.createDataFrame([(1, i, x[i]) for i in range(n)], "asset_id long, arrival_seq long, x double").withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("arrival_seq") * 600))
+    got = rolling_stats(df, ["x"], [3], ["avg", "var", "grad"], keep=["arrival_seq"], slice_rows=slice_rows).orderBy("arrival_seq").collect()
+    assert len(got) == n
+    for i, r in enumerate(got):
+        rows = x[max(0, i - 2) : i + 1]
+        held = [v for v in rows if v is not None and v == v]
+        if not held:
+            assert r.x_roll_avg_3 is None and r.x_roll_var_3 is None
+            continue
+        mean = sum(held) / len(held)
+        assert r.x_roll_avg_3 == pytest.approx(mean, rel=1e-12)
+        assert r.x_roll_var_3 == pytest.approx(sum((v - mean) ** 2 for v in held) / len(held), rel=1e-9, abs=1e-6)
+        ends = [v for v in (rows[0], rows[-1]) if v is not None and v == v]
+        assert r.x_roll_grad_3 == (None if len(ends) < 2 else pytest.approx((rows[-1] - rows[0]) / len(rows)))
