@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="furnacelens-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own_dir(spark.sparkContext.applicationId)
     return named.rstrip("/")
 
 
+@lru_cache(None)
+def _own_dir(application: str) -> str:
+    """Kept here: a running session refuses to have spark.checkpoint.dir set."""
+    return tempfile.mkdtemp(prefix="furnacelens-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -189,3 +189,14 @@ def test_tree_attribution_matches_brute_force():
                 phi[i] += value(known | {i}) - value(known)
                 known.add(i)
         assert table[pattern] == pytest.approx(phi / 6)
+
+
+def test_scratch_folder_without_the_setting(spark, monkeypatch):
+    from pyspark.sql.conf import RuntimeConfig
+
+    from furnacelens.session import materialise, shared_dir
+
+    get = RuntimeConfig.get
+    monkeypatch.setattr(RuntimeConfig, "get", lambda self, key, *default: None if key == "spark.checkpoint.dir" else get(self, key, *default))
+    assert shared_dir(spark) == shared_dir(spark)
+    assert materialise(spark.range(3), "three").count() == 3
