@@ -137,66 +137,71 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     return parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
-def _p(c: str, n: str, v: str):
-    """1 + floor(SCALE * (c + 1) / (n + v)), exact."""
-    return F.expr(f"1 + (CAST({SCALE} AS DECIMAL(38,0)) * CAST({c} + 1 AS DECIMAL(38,0))) div CAST({n} + {v} AS DECIMAL(38,0))").cast("long")
+def _p(c: str, n: str, v: str) -> str:
+    """1 + floor(SCALE * (c + 1) / (n + v)), exact; SQL text."""
+    return f"CAST(1 + (CAST({SCALE} AS DECIMAL(38,0)) * CAST({c} + 1 AS DECIMAL(38,0))) div CAST({n} + {v} AS DECIMAL(38,0)) AS BIGINT)"
 
 
 def _f(p: str, q: str):
     return F.expr(f"(CAST({p} - {q} AS DECIMAL(38,0)) * CAST({p} - {q} AS DECIMAL(38,0))) div {q}").cast("long")
 
 
-def _others(groups: DataFrame, cells: DataFrame, n_groups: int) -> DataFrame:
-    """Each cell with every other group of its language: a broadcast of the counted group table, else a salted join."""
-    y = groups.select("lang", F.col("source").alias("y"), F.col("p0").alias("p0y"))
+def _with_languages(kept: DataFrame, langs: DataFrame, n_groups: int) -> DataFrame:
+    """Each kept term with its language's row: a broadcast of the counted group table, else a join salted by term."""
     if n_groups <= BROADCAST_GROUPS:
-        return cells.join(F.broadcast(y), "lang").filter(F.col("x") != F.col("y"))
-    salted = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
-    cells = cells.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)))
-    return cells.join(salted, ["lang", "salt"]).drop("salt").filter(F.col("x") != F.col("y"))
+        return kept.join(F.broadcast(langs), "lang")
+    langs = langs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return kept.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS))).join(langs, ["lang", "_salt"]).drop("_salt")
+
+
+# per kept term: p of each holding group (hp), of the language (q); pair rows for every (holder, other group) and for
+# (group not holding, holder); rows of the term part
+TERM_ROW = {
+    "hp": f"transform(held, x -> named_struct('s', x.s, 'c', x.c, 'p', {_p('x.c', 'element_at(nm, x.s)', 'V')}))",
+    "q": _p("cl", "NL", "V"),
+}
+PAIR_ROWS = """concat(
+  flatten(transform(hp, x -> transform(filter(grp, y -> y.s != x.s),
+    y -> named_struct('g', x.s, 'h', y.s, 'p', x.p, 'q', coalesce(try_element_at(m, y.s), y.p0))))),
+  flatten(transform(filter(grp, y -> try_element_at(m, y.s) IS NULL),
+    y -> transform(hp, x -> named_struct('g', y.s, 'h', x.s, 'p', y.p0, 'q', x.p)))))"""
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) as described above."""
-    every = materialise(counted(docs, text_col, lang_col, source_col), "term_counts")
-    kept = every.groupBy("lang", "term").agg(F.sum("d").alias("df"), F.sum("c").alias("cl")).filter(F.col("df") >= min_docs).drop("df")
-    kept = materialise(kept, "kept_terms")
-    cells = every.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", "c")
-    cells = materialise(cells, "kept_cells")
+    cells = counted(docs, text_col, lang_col, source_col)
+    per_term = cells.groupBy("lang", "term").agg(F.sum("d").alias("df"), F.sum("c").alias("cl"), F.collect_list(F.struct(F.col("source").alias("s"), "c")).alias("held"))
+    kept = materialise(per_term.filter(F.col("df") >= min_docs).drop("df"), "kept_terms")  # held: a pair per source at most
     size = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("cl").alias("NL"))
-    occurring = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")).distinct()
-    held = cells.groupBy("lang", "source").agg(F.sum("c").alias("N"))
-    groups = occurring.join(size, "lang", "left").join(held, ["lang", "source"], "left")
-    groups = groups.select("lang", "source", F.coalesce("V", F.lit(0)).alias("V"), F.coalesce("N", F.lit(0)).alias("N"))
-    groups = groups.withColumn("p0", F.when(F.col("V") > 0, _p("0", "N", "V")))
-    groups = materialise(groups, "groups")
+    held = kept.select("lang", F.inline("held")).groupBy("lang", "s").agg(F.sum("c").alias("N"))
+    occurring = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("s")).distinct()
+    groups = occurring.join(size, "lang", "left").join(held, ["lang", "s"], "left")
+    groups = groups.select("lang", "s", F.coalesce("V", F.lit(0)).alias("V"), F.coalesce("N", F.lit(0)).alias("N"), F.coalesce("NL", F.lit(0)).alias("NL"))
+    groups = materialise(groups.withColumn("p0", F.when(F.col("V") > 0, F.expr(_p("0", "N", "V")))), "groups")
     n_groups = groups.count()
-
-    # part term: against the language's p
-    lang_p = kept.join(size, "lang").select("lang", "term", _p("cl", "NL", "V").alias("q"))
-    with_p = cells.join(groups.select("lang", "source", "N", "V"), ["lang", "source"]).select("lang", "source", "term", _p("c", "N", "V").alias("p"))
-    with_p = materialise(with_p, "cell_p")
-    above = with_p.join(lang_p, ["lang", "term"]).filter(F.col("p") > F.col("q"))
-    terms = above.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f("p", "q").alias("value"))
+    langs = groups.groupBy("lang").agg(
+        F.first("V").alias("V"), F.first("NL").alias("NL"), F.collect_list(F.struct("s", "N", "p0")).alias("grp")
+    ).withColumn("nm", F.map_from_entries(F.transform("grp", lambda y: F.struct(y["s"], y["N"]))))
+    rows = _with_languages(kept, langs, n_groups).withColumns({k: F.expr(v) for k, v in TERM_ROW.items()})
+    rows = rows.withColumn("m", F.map_from_entries(F.transform("hp", lambda x: F.struct(x["s"], x["p"]))))
+
+    # part pair: terms neither group holds are counted, not listed
+    each = rows.select("lang", F.explode(F.expr(PAIR_ROWS)).alias("r")).select("lang", "r.g", "r.h", _f("r.p", "r.q").alias("f"))
+    sums = each.groupBy("lang", "g", "h").agg(F.sum("f").alias("sum_f"), F.count("*").alias("u"))
+    g = groups.select("lang", F.col("s").alias("g"), "V", F.col("p0").alias("p0g"))
+    h = groups.select("lang", F.col("s").alias("h"), F.col("p0").alias("p0h"))
+    pairs = g.join(h, "lang").filter(F.col("g") != F.col("h")).join(sums, ["lang", "g", "h"], "left")
+    rest = F.when(F.col("V") > 0, (F.col("V") - F.coalesce("u", F.lit(0))) * _f("p0g", "p0h")).otherwise(F.lit(0))
+    pairs = pairs.select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), (F.coalesce("sum_f", F.lit(0)) + rest).cast("long").alias("value"))
     order = [F.col("value").desc(), F.col("item").asc()]
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
+
+    # part term: against the language's p; the first of each hash slice, then of the group
+    above = rows.select("lang", "term", "q", F.explode(F.filter("hp", lambda x: x["p"] > F.col("q"))).alias("x"))
+    terms = above.select("lang", F.col("x.s").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), _f("x.p", "q").alias("value"))
     spread = Window.partitionBy("lang", "source", "_s").orderBy(*order)
     terms = terms.withColumn("_s", F.pmod(F.xxhash64("item"), F.lit(SALTS))).withColumn("_r", F.row_number().over(spread)).filter(F.col("_r") <= top_terms)
     terms = terms.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))).filter(F.col("rank") <= top_terms)
-
-    # part pair: held cells against every other group of the language; terms neither holds are counted
-    cells_x = with_p.select("lang", "term", F.col("source").alias("x"), F.col("p").alias("px"))
-    spread_rows = _others(groups, cells_x, n_groups)
-    held_y = with_p.select("lang", "term", F.col("source").alias("y"), F.col("p").alias("py"))
-    both = spread_rows.join(held_y, ["lang", "term", "y"], "left")
-    a = both.select("lang", F.col("x").alias("g"), F.col("y").alias("h"), _f("px", "coalesce(py, p0y)").alias("f"))
-    b = both.filter(F.col("py").isNull()).select("lang", F.col("y").alias("g"), F.col("x").alias("h"), _f("p0y", "px").alias("f"))
-    sums = a.unionByName(b).groupBy("lang", "g", "h").agg(F.sum("f").alias("s"), F.count("*").alias("u"))
-    g = groups.select("lang", F.col("source").alias("g"), "V", F.col("p0").alias("p0g"))
-    h = groups.select("lang", F.col("source").alias("h"), F.col("p0").alias("p0h"))
-    pairs = g.join(h, "lang").filter(F.col("g") != F.col("h")).join(sums, ["lang", "g", "h"], "left")
-    rest = F.when(F.col("V") > 0, (F.col("V") - F.coalesce("u", F.lit(0))) * _f("p0g", "p0h")).otherwise(F.lit(0))
-    pairs = pairs.select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), (F.coalesce("s", F.lit(0)) + rest).cast("long").alias("value"))
-    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
     cols = ["lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank")]
     return pairs.select(*cols).unionByName(terms.select(*cols))
 
