@@ -142,29 +142,31 @@ def _p(c: str, n: str, v: str) -> str:
     return f"CAST(1 + (CAST({SCALE} AS DECIMAL(38,0)) * CAST({c} + 1 AS DECIMAL(38,0))) div CAST({n} + {v} AS DECIMAL(38,0)) AS BIGINT)"
 
 
+def _f_sql(p: str, q: str) -> str:
+    """floor((p - q)^2 / q) in longs: p and q lie in 1 .. SCALE + 1, so the square stays below 2**63."""
+    return f"((({p}) - ({q})) * (({p}) - ({q}))) div ({q})"
+
+
 def _f(p: str, q: str):
-    return F.expr(f"(CAST({p} - {q} AS DECIMAL(38,0)) * CAST({p} - {q} AS DECIMAL(38,0))) div {q}").cast("long")
+    return F.expr(_f_sql(p, q))
 
 
 def _with_languages(kept: DataFrame, langs: DataFrame, n_groups: int) -> DataFrame:
     """Each kept term with its language's row: a broadcast of the counted group table, else a join salted by term."""
     if n_groups <= BROADCAST_GROUPS:
         return kept.join(F.broadcast(langs), "lang")
-    langs = langs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    langs = langs.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return kept.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(SALTS))).join(langs, ["lang", "_salt"]).drop("_salt")
 
 
-# per kept term: p of each holding group (hp), of the language (q); pair rows for every (holder, other group) and for
-# (group not holding, holder); rows of the term part
+# per kept term: p of each holding group (hp) and of the language (q); for every two groups that both hold it, what
+# their pair takes beyond the histogram sums (the term's own f less its f against each one's p for terms it lacks)
 TERM_ROW = {
     "hp": f"transform(held, x -> named_struct('s', x.s, 'c', x.c, 'p', {_p('x.c', 'element_at(nm, x.s)', 'V')}))",
     "q": _p("cl", "NL", "V"),
 }
-PAIR_ROWS = """concat(
-  flatten(transform(hp, x -> transform(filter(grp, y -> y.s != x.s),
-    y -> named_struct('g', x.s, 'h', y.s, 'p', x.p, 'q', coalesce(try_element_at(m, y.s), y.p0))))),
-  flatten(transform(filter(grp, y -> try_element_at(m, y.s) IS NULL),
-    y -> transform(hp, x -> named_struct('g', y.s, 'h', x.s, 'p', y.p0, 'q', x.p)))))"""
+SHARED_ROWS = f"""flatten(transform(hp, x -> transform(filter(hp, y -> y.s != x.s), y -> named_struct('g', x.s, 'h', y.s,
+  'e', {_f_sql('x.p', 'y.p')} - {_f_sql('x.p', 'element_at(zm, y.s)')} - {_f_sql('element_at(zm, x.s)', 'y.p')}))))"""
 
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
@@ -173,26 +175,37 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     per_term = cells.groupBy("lang", "term").agg(F.sum("d").alias("df"), F.sum("c").alias("cl"), F.collect_list(F.struct(F.col("source").alias("s"), "c")).alias("held"))
     kept = materialise(per_term.filter(F.col("df") >= min_docs).drop("df"), "kept_terms")  # held: a pair per source at most
     size = kept.groupBy("lang").agg(F.count("*").alias("V"), F.sum("cl").alias("NL"))
-    held = kept.select("lang", F.inline("held")).groupBy("lang", "s").agg(F.sum("c").alias("N"))
+    held = kept.select("lang", F.inline("held")).groupBy("lang", "s").agg(F.sum("c").alias("N"), F.count("*").alias("T"))
     occurring = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("s")).distinct()
     groups = occurring.join(size, "lang", "left").join(held, ["lang", "s"], "left")
-    groups = groups.select("lang", "s", F.coalesce("V", F.lit(0)).alias("V"), F.coalesce("N", F.lit(0)).alias("N"), F.coalesce("NL", F.lit(0)).alias("NL"))
+    groups = groups.select("lang", "s", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("V", "N", "T", "NL")])
     groups = materialise(groups.withColumn("p0", F.when(F.col("V") > 0, F.expr(_p("0", "N", "V")))), "groups")
     n_groups = groups.count()
-    langs = groups.groupBy("lang").agg(
-        F.first("V").alias("V"), F.first("NL").alias("NL"), F.collect_list(F.struct("s", "N", "p0")).alias("grp")
-    ).withColumn("nm", F.map_from_entries(F.transform("grp", lambda y: F.struct(y["s"], y["N"]))))
-    rows = _with_languages(kept, langs, n_groups).withColumns({k: F.expr(v) for k, v in TERM_ROW.items()})
-    rows = rows.withColumn("m", F.map_from_entries(F.transform("hp", lambda x: F.struct(x["s"], x["p"]))))
-
-    # part pair: terms neither group holds are counted, not listed
-    each = rows.select("lang", F.explode(F.expr(PAIR_ROWS)).alias("r")).select("lang", "r.g", "r.h", _f("r.p", "r.q").alias("f"))
-    sums = each.groupBy("lang", "g", "h").agg(F.sum("f").alias("sum_f"), F.count("*").alias("u"))
-    g = groups.select("lang", F.col("s").alias("g"), "V", F.col("p0").alias("p0g"))
-    h = groups.select("lang", F.col("s").alias("h"), F.col("p0").alias("p0h"))
-    pairs = g.join(h, "lang").filter(F.col("g") != F.col("h")).join(sums, ["lang", "g", "h"], "left")
-    rest = F.when(F.col("V") > 0, (F.col("V") - F.coalesce("u", F.lit(0))) * _f("p0g", "p0h")).otherwise(F.lit(0))
-    pairs = pairs.select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), (F.coalesce("sum_f", F.lit(0)) + rest).cast("long").alias("value"))
+    langs = groups.groupBy("lang").agg(F.first("V").alias("V"), F.first("NL").alias("NL"), F.collect_list(F.struct("s", "N", "p0")).alias("grp"))
+    langs = langs.select(
+        "lang", "V", "NL", F.map_from_entries(F.transform("grp", lambda y: F.struct(y["s"], y["N"]))).alias("nm"),
+        F.map_from_entries(F.transform("grp", lambda y: F.struct(y["s"], y["p0"]))).alias("zm"),
+    )
+    rows = materialise(_with_languages(kept, langs, n_groups).withColumns({k: F.expr(v) for k, v in TERM_ROW.items()}).drop("held", "nm", "zm"), "term_rows")
+
+    # part pair. Σ_t f(p_g, p_h) = Σ_{t in T_g} f(p_g, p0_h) + Σ_{t in T_h} f(p0_g, p_h) + Σ_{both hold t} (f(p_g, p_h) - the
+    # two) + (V - |T_g ∪ T_h|) f(p0_g, p0_h). A group's p depends on the count alone, so the first two sums run over
+    # histograms of (group, p); only pairs of groups that both hold a term are listed.
+    shared = _with_languages(rows, langs.select("lang", "zm"), n_groups).select("lang", F.explode(F.expr(SHARED_ROWS)).alias("r")).groupBy("lang", "r.g", "r.h").agg(F.sum("r.e").alias("e"), F.count("*").alias("both"))
+    hist = rows.select("lang", F.inline("hp")).groupBy("lang", "s", "p").agg(F.count("*").alias("k"))
+    g = groups.select("lang", F.col("s").alias("g"), "V", F.col("T").alias("tg"), F.col("p0").alias("p0g"))
+    h = groups.select("lang", F.col("s").alias("h"), F.col("T").alias("th"), F.col("p0").alias("p0h"))
+    pairs = g.join(h, "lang").filter(F.col("g") != F.col("h"))
+    small = F.broadcast if n_groups <= BROADCAST_GROUPS else (lambda df: df)
+    from_g = hist.withColumnRenamed("s", "g").join(small(h), "lang").filter(F.col("g") != F.col("h"))
+    from_g = from_g.groupBy("lang", "g", "h").agg(F.sum(F.col("k") * _f("p", "p0h")).alias("sg"))
+    from_h = hist.withColumnRenamed("s", "h").join(small(g.select("lang", "g", "p0g")), "lang").filter(F.col("g") != F.col("h"))
+    from_h = from_h.groupBy("lang", "g", "h").agg(F.sum(F.col("k") * _f("p0g", "p")).alias("sh"))
+    pairs = pairs.join(shared, ["lang", "g", "h"], "left").join(from_g, ["lang", "g", "h"], "left").join(from_h, ["lang", "g", "h"], "left")
+    neither = F.col("V") - (F.col("tg") + F.col("th") - F.coalesce("both", F.lit(0)))
+    total = F.coalesce("e", F.lit(0)) + F.coalesce("sg", F.lit(0)) + F.coalesce("sh", F.lit(0)) + neither * _f("p0g", "p0h")
+    value = F.when(F.col("V") > 0, total).otherwise(F.lit(0))
+    pairs = pairs.select("lang", F.col("g").alias("source"), F.lit("pair").alias("part"), F.col("h").alias("item"), value.cast("long").alias("value"))
     order = [F.col("value").desc(), F.col("item").asc()]
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
 
