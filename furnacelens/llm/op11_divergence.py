@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,6 +170,69 @@ SHARED_ROWS = f"""flatten(transform(hp, x -> transform(filter(hp, y -> y.s != x.
   'e', {_f_sql('x.p', 'y.p')} - {_f_sql('x.p', 'element_at(zm, y.s)')} - {_f_sql('element_at(zm, x.s)', 'y.p')}))))"""
 
 
+PAIR_CHUNK = 1 << 22  # pairs of holders listed at once in a task
+
+
+def shared_pairs(hp: pa.ListArray, lang: pa.Array, keys: pa.Array, p0: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(g, h, e, both) of one batch of term rows: per pair of group ids, the sum over terms both hold of
+    f(p_g, p_h) - f(p_g, p0_h) - f(p0_g, p_h), and their number. Exact in int64 (every f is below 2**60)."""
+    parent = hp.value_parent_indices().to_numpy().astype(np.int64)
+    flat = hp.flatten()
+    if not len(flat):
+        return (np.zeros(0, np.int64),) * 4
+    key = pc.binary_join_element_wise(lang.take(pa.array(parent)), flat.field("s"), "\x00")
+    gid = pc.index_in(key, value_set=keys).to_numpy(zero_copy_only=False).astype(np.int64)
+    p = flat.field("p").to_numpy(zero_copy_only=False).astype(np.int64)
+    k = np.bincount(parent, minlength=len(hp))
+    first = np.r_[0, np.cumsum(k)[:-1]]
+    out_key, out_e = [], []
+    terms = np.flatnonzero(k > 1)
+    cost = np.cumsum(k[terms] ** 2)
+    for chunk in np.split(terms, np.searchsorted(cost, np.arange(PAIR_CHUNK, cost[-1] if len(cost) else 0, PAIR_CHUNK))):
+        if not len(chunk):
+            continue
+        elems = np.concatenate([np.arange(first[t], first[t] + k[t]) for t in chunk]) if len(chunk) < 64 else np.flatnonzero(np.isin(parent, chunk))
+        size = k[parent[elems]]
+        x = np.repeat(elems, size)
+        block = np.repeat(np.cumsum(np.r_[0, size[:-1]]), size)
+        y = np.repeat(first[parent[elems]], size) + (np.arange(len(x)) - block)
+        keep = x != y
+        x, y = x[keep], y[keep]
+        px, py, zx, zy = p[x], p[y], p0[gid[x]], p0[gid[y]]
+        out_e.append((px - py) ** 2 // py - (px - zy) ** 2 // zy - (zx - py) ** 2 // py)
+        out_key.append(gid[x] * len(p0) + gid[y])
+    if not out_key:
+        return (np.zeros(0, np.int64),) * 4
+    key, e = np.concatenate(out_key), np.concatenate(out_e)
+    order = np.argsort(key, kind="stable")
+    key, e = key[order], e[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[starts] // len(p0), key[starts] % len(p0), np.add.reduceat(e, starts), np.diff(np.r_[starts, len(key)])
+
+
+def _shared(rows: DataFrame, groups: DataFrame, langs: DataFrame, n_groups: int) -> DataFrame:
+    """(lang, g, h, e, both) of pairs of groups holding common terms: numpy over term rows with the group table
+    broadcast (its size is counted), else Spark's generator over the same rows."""
+    if n_groups > BROADCAST_GROUPS:
+        pairs = _with_languages(rows, langs.select("lang", "zm"), n_groups).select("lang", F.explode(F.expr(SHARED_ROWS)).alias("r"))
+        return pairs.groupBy("lang", "r.g", "r.h").agg(F.sum("r.e").alias("e"), F.count("*").alias("both"))
+    table = groups.select("lang", "s", F.coalesce("p0", F.lit(1)).alias("p0")).orderBy("lang", "s").collect()  # at most BROADCAST_GROUPS rows
+    shared = rows.sparkSession.sparkContext.broadcast(([f"{r.lang}\x00{r.s}" for r in table], np.array([r.p0 for r in table], np.int64)))
+
+    def of(batches):
+        names, p0 = shared.value
+        keys = pa.array(names, pa.string())
+        for b in batches:
+            g, h, e, both = shared_pairs(b.column(1), b.column(0), keys, p0)
+            if len(g):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(e), pa.array(both)], ["g", "h", "e", "both"])
+
+    sums = rows.select("lang", "hp").mapInArrow(of, "g long, h long, e long, both long").groupBy("g", "h").agg(F.sum("e").alias("e"), F.sum("both").alias("both"))
+    ids = rows.sparkSession.createDataFrame([(i, r.lang, r.s) for i, r in enumerate(table)], "i long, lang string, s string")
+    sums = sums.join(F.broadcast(ids.withColumnsRenamed({"i": "g", "s": "gs"})), "g").join(F.broadcast(ids.select(F.col("i").alias("h"), F.col("s").alias("hs"))), "h")
+    return sums.select("lang", F.col("gs").alias("g"), F.col("hs").alias("h"), "e", "both")
+
+
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank) as described above."""
     cells = counted(docs, text_col, lang_col, source_col)
@@ -191,7 +255,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # part pair. Σ_t f(p_g, p_h) = Σ_{t in T_g} f(p_g, p0_h) + Σ_{t in T_h} f(p0_g, p_h) + Σ_{both hold t} (f(p_g, p_h) - the
     # two) + (V - |T_g ∪ T_h|) f(p0_g, p0_h). A group's p depends on the count alone, so the first two sums run over
     # histograms of (group, p); only pairs of groups that both hold a term are listed.
-    shared = _with_languages(rows, langs.select("lang", "zm"), n_groups).select("lang", F.explode(F.expr(SHARED_ROWS)).alias("r")).groupBy("lang", "r.g", "r.h").agg(F.sum("r.e").alias("e"), F.count("*").alias("both"))
+    shared = _shared(rows, groups, langs, n_groups)
     hist = rows.select("lang", F.inline("hp")).groupBy("lang", "s", "p").agg(F.count("*").alias("k"))
     g = groups.select("lang", F.col("s").alias("g"), "V", F.col("T").alias("tg"), F.col("p0").alias("p0g"))
     h = groups.select("lang", F.col("s").alias("h"), F.col("T").alias("th"), F.col("p0").alias("p0h"))
