@@ -31,6 +31,7 @@ MIN_COUNT = 10
 HALF = 50  # percent of a candidate's count that a longer one must reach to absorb it
 TOP = 2000
 SLICES = 64
+BROADCAST_PAIRS = 4_000_000  # frequent pairs broadcast as (lang, hash) rows; beyond, joined by shuffle
 
 
 def lead_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -42,9 +43,26 @@ def lead_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return words.select("lang", F.inline(lead))
 
 
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(level, lang, w1, w2, w3, f): level 3, 2, 1 for phrases of that many words, 0 for all words of the language."""
-    rolled = lead_windows(docs, text_col, lang_col).rollup("lang", "w1", "w2", "w3").agg(F.count("*").alias("f"), F.grouping_id().alias("gid"))
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT) -> DataFrame:
+    """(level, lang, w1, w2, w3, f): level 3, 2, 1 for phrases of that many words, 0 for all words of the language.
+
+    Counts are exact for every word, for every pair occurring ``min_count`` times or more and for every triple whose two
+    pairs do: a window keeps its second word only where its first pair is frequent and its third only where both are,
+    since a phrase occurs no more often than any part of it. Pairs are judged by a 64-bit hash in one grouping first;
+    two pairs on one hash only add up, so no frequent pair is missed. Shorter phrases are cut where they cannot count,
+    and the trailing nulls of the rollup then gather them.
+    """
+    windows = lead_windows(docs, text_col, lang_col)
+    pair = F.xxhash64("w1", "w2")
+    frequent = windows.filter(F.col("w2").isNotNull()).groupBy("lang", pair.alias("h")).agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
+    frequent = materialise(frequent.select("lang", "h"), "frequent_pairs")
+    small = F.broadcast if frequent.count() <= BROADCAST_PAIRS else (lambda df: df)
+    first = small(frequent.select("lang", F.col("h").alias("h12"), F.lit(True).alias("k12")))
+    second = small(frequent.select("lang", F.col("h").alias("h23"), F.lit(True).alias("k23")))
+    windows = windows.withColumns({"h12": pair, "h23": F.xxhash64("w2", "w3")}).join(first, ["lang", "h12"], "left").join(second, ["lang", "h23"], "left")
+    k12 = F.coalesce("k12", F.lit(False))
+    cut = windows.select("lang", "w1", F.when(k12, F.col("w2")).alias("w2"), F.when(k12 & F.coalesce("k23", F.lit(False)), F.col("w3")).alias("w3"))
+    rolled = cut.rollup("lang", "w1", "w2", "w3").agg(F.count("*").alias("f"), F.grouping_id().alias("gid"))
     level = F.when(F.col("gid") == 0, 3).when(F.col("gid") == 1, 2).when(F.col("gid") == 3, 1).when(F.col("gid") == 7, 0)
     useful = (F.col("gid") == 0) & F.col("w3").isNotNull() | (F.col("gid") == 1) & F.col("w2").isNotNull() | F.col("gid").isin(3, 7)
     return rolled.filter(useful).select(level.alias("level"), "lang", "w1", "w2", "w3", "f")
@@ -56,7 +74,7 @@ def _score(a: str, l: str, r: str):
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's first ``top`` collocations."""
-    counts = materialise(phrase_counts(docs, text_col, lang_col), "phrase_counts")
+    counts = materialise(phrase_counts(docs, text_col, lang_col, min_count), "phrase_counts")
     uni = counts.filter("level = 1").select("lang", F.col("w1").alias("u"), F.col("f").alias("fu"))
     bi = counts.filter("level = 2").select("lang", F.col("w1").alias("b1"), F.col("w2").alias("b2"), F.col("f").alias("fb"))
     n = counts.filter("level = 0").select("lang", F.col("f").alias("n"))
