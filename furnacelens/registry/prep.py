@@ -233,3 +233,28 @@ def a13(spark, sf):
     catalogue = materialise(feature_catalogue(t.select("Shift_Type", "Worker_Count", "event_id")), "catalogue")
     return cleaning.select(F.lit("cleaning").alias("report"), F.col("column").alias("item"), F.col("null_count").alias("n")).unionByName(
         catalogue.select(F.lit("catalogue").alias("report"), F.col("Feature_Name").alias("item"), F.col("Unique_Values").alias("n")))
+
+
+_BUNDLED = "(SELECT event_id, coalesce(CO_CO, (SELECT median(CO_CO) FROM {d})) AS CO_CO, coalesce(BF_H2, (SELECT median(BF_H2) FROM {d})) AS BF_H2, " \
+    "coalesce(Shift_Type, 'None') AS Shift_Type, coalesce(Gas_Test_Completed, false) AS Gas_Test_Completed FROM {d})".format(d=DIRTY)
+
+
+@query("a09_a10_k02_bundle_restart", f"""SELECT event_id, {rnd('(CO_CO - m1) / s1', 'CO_CO')}, {rnd('(BF_H2 - m2) / s2', 'BF_H2')},
+  CAST(Gas_Test_Completed AS DOUBLE) AS Gas_Test_Completed, 'Shift_Type_' || Shift_Type AS hot
+FROM {_BUNDLED} CROSS JOIN (SELECT avg(CO_CO) AS m1, stddev_pop(CO_CO) AS s1, avg(BF_H2) AS m2, stddev_pop(BF_H2) AS s2 FROM {_BUNDLED})""")
+def a09_bundle(spark, sf):
+    """Clean, encode, scale and align fitted as one PipelineModel, saved, loaded back as after a restart, and applied
+    to the raw rows: medians fill nulls, NaN and infinities; the one-hot column set to 1 is named in ``hot``."""
+    from pyspark.ml import PipelineModel
+
+    from furnacelens.operators.bundle import preparation
+    from furnacelens.session import scratch_path
+
+    cols = ["CO_CO", "BF_H2", "Shift_Type", "Gas_Test_Completed"]
+    t = dirty(spark, sf).select("event_id", *cols)
+    path = scratch_path(spark, "bundle")
+    preparation(cols, keep=["event_id"]).fit(t).save(path)
+    out = PipelineModel.load(path).transform(t)
+    hot = [c for c in out.columns if c.startswith("Shift_Type_")]
+    name = F.coalesce(*[F.when(F.col(c) == 1.0, F.lit(c)) for c in hot]) if hot else F.lit(None).cast("string")
+    return out.select("event_id", r6("CO_CO").alias("CO_CO"), r6("BF_H2").alias("BF_H2"), "Gas_Test_Completed", name.alias("hot"))
