@@ -34,13 +34,23 @@ SLICES = 64
 BROADCAST_PAIRS = 4_000_000  # frequent pairs broadcast as (lang, hash) rows; beyond, joined by shuffle
 
 
-def lead_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3): one row per word occurrence, the words after it in its piece or null."""
+def piece_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, ws): the words of each piece."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER_CASE)
     pieces = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", SPACE), "").alias("ws"))
+    return pieces.select("lang", F.array_remove(F.split("piece", SPACE), "").alias("ws"))
+
+
+def lead_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, w1, w2, w3): one row per word occurrence, the words after it in its piece or null."""
     lead = F.transform("ws", lambda x, i: F.struct(x.alias("w1"), F.get("ws", i + 1).alias("w2"), F.get("ws", i + 2).alias("w3")))
-    return words.select("lang", F.inline(lead))
+    return piece_words(docs, text_col, lang_col).select("lang", F.inline(lead))
+
+
+def pair_hashes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, h): xxhash64 of every two neighbouring words of a piece, as ``xxhash64(w1, w2)`` of the lead windows."""
+    pairs = F.slice(F.transform("ws", lambda x, i: F.xxhash64(x, F.get("ws", i + 1))), 1, F.greatest(F.size("ws") - 1, F.lit(0)))
+    return piece_words(docs, text_col, lang_col).select("lang", F.explode(pairs).alias("h"))
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT) -> DataFrame:
@@ -54,7 +64,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     windows = lead_windows(docs, text_col, lang_col)
     pair = F.xxhash64("w1", "w2")
-    frequent = windows.filter(F.col("w2").isNotNull()).groupBy("lang", pair.alias("h")).agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
+    frequent = pair_hashes(docs, text_col, lang_col).groupBy("lang", "h").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
     frequent = materialise(frequent.select("lang", "h"), "frequent_pairs")
     small = F.broadcast if frequent.count() <= BROADCAST_PAIRS else (lambda df: df)
     first = small(frequent.select("lang", F.col("h").alias("h12"), F.lit(True).alias("k12")))
