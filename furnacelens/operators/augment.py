@@ -41,7 +41,9 @@ def rows_per_class(df: DataFrame, n: int, label: str, ident: str, *, seed: int =
     """n rows of each class; a class with fewer is drawn with replacement. Adds ``draw`` (0-based)."""
     sizes = class_sizes(df, label)
     small = [c for c, k in sizes.items() if k < n]
-    enough = df.filter(~F.col(label).isin(*small)) if small else df
+    known = [c for c in small if c is not None]
+    listed = F.coalesce(F.col(label).isin(*known), F.lit(False)) if known else F.lit(False)
+    enough = df.filter(F.when(F.col(label).isNull(), F.lit(None not in small)).otherwise(~listed)) if small else df  # null-safe
     picked = first_by_hash(enough, n, ident, by=label, seed=seed)
     order = W.partitionBy(label).orderBy(stable_hash(ident, seed), ident)  # n rows per class
     out = picked.withColumn("draw", F.row_number().over(order) - F.lit(1))

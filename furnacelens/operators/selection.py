@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furnacelens.functions.scalar import stable_hash
 
@@ -155,5 +156,11 @@ def draw_with_replacement(
         wanted.setdefault(d["class"], []).append(rank)
         rows.append({by: d["class"], "_rank": rank, **{k: v for k, v in d.items() if k not in ("class", "key", "seed")}})
     picked = rows_at_ranks(df, by, ident, order_seed, wanted, sizes, **kw).drop("_h")
-    drawn = df.sparkSession.createDataFrame(rows).withColumn(by, F.col(by).cast(df.schema[by].dataType))
-    return picked.join(F.broadcast(drawn), [by, "_rank"]).drop("_rank")  # one row per draw, made on the driver
+    extra = [k for k in rows[0] if k not in (by, "_rank")] if rows else []
+    kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}
+    schema = T.StructType([T.StructField("_by", df.schema[by].dataType), T.StructField("_r", T.LongType())]
+                          + [T.StructField(k, kinds[type(rows[0][k])]) for k in extra])
+    drawn = df.sparkSession.createDataFrame([(r[by], r["_rank"], *[r[k] for k in extra]) for r in rows], schema)
+    # one row per draw, made on the driver; a null class meets itself
+    met = picked.join(F.broadcast(drawn), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_rank") == F.col("_r")))
+    return met.drop("_by", "_r", "_rank")
