@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
 from furnacelens.llm.words import U, salted
@@ -47,6 +46,8 @@ class Partial:
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
         size = 1 << (min(BLOCK_BITS, self.bits) - 3)
+        import zstandard  # used only where sketches are packed, so the package imports without it
+
         pack = zstandard.ZstdCompressor(level=1)
         for d in range(DEPTH):
             for b in range(self.once.shape[1] // size):
@@ -58,6 +59,8 @@ class Partial:
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by block: folds the partial bitmaps of a block one after the other."""
+    import zstandard
+
     open_, at = zstandard.ZstdDecompressor(), None
     once = twice = None
 
@@ -84,6 +87,8 @@ def build(source: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Itera
     The broadcast has a fixed bound: DEPTH * 2**bits / 8 bytes (32 MB by default). Tasks are few and large, as each
     of them sends a sketch.
     """
+    import zstandard
+
     spark = source.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
 
