@@ -84,7 +84,9 @@ def _score(a: str, l: str, r: str):
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's first ``top`` collocations."""
-    counts = materialise(phrase_counts(docs, text_col, lang_col, min_count), "phrase_counts")
+    # every count read below is of a candidate or of a part of one, so at least min_count: only those are written
+    counts = phrase_counts(docs, text_col, lang_col, min_count)
+    counts = materialise(counts.filter((F.col("level") == 0) | (F.col("f") >= min_count)), "phrase_counts")
     uni = counts.filter("level = 1").select("lang", F.col("w1").alias("u"), F.col("f").alias("fu"))
     bi = counts.filter("level = 2").select("lang", F.col("w1").alias("b1"), F.col("w2").alias("b2"), F.col("f").alias("fb"))
     n = counts.filter("level = 0").select("lang", F.col("f").alias("n"))
