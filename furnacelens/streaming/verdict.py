@@ -14,7 +14,7 @@ silent for ``ttl_ms`` of event time releases its state, and results do not depen
 The verdict equals the batch verdict: reasons in the order malformed, missing timestamp, bad timestamp, out of order
 (not later than every sound packet before it), missing fields, not numeric. Within a micro-batch the running maximum
 is numpy's accumulate over the sound timestamps, seeded with the state; no loop per packet. A micro-batch of one asset
-is one call, so the source option that bounds a micro-batch also bounds that call.
+is one call, so the replay's bound on a micro-batch (``TRIGGER_ROWS``) also bounds that call.
 """
 
 from __future__ import annotations
@@ -33,6 +33,9 @@ from furnacelens.operators.validate import check_fields
 from furnacelens.sources.files import decode_packets
 
 STATE_TTL_MS = 24 * 3600 * 1000
+TRIGGER_ROWS = 1_000_000  # packets of one replay file, so of one micro-batch
+GROUP_BYTES = 8 << 20  # row groups of a replay file: small, so that one file is decoded by many tasks
+OUT_ROWS = 10_000
 NONE = np.iinfo(np.int64).min
 FLAGS = ("_readable", "_has_ts", "_complete", "_numeric")  # of check_fields; handed on without the underscore
 TOTALS = T.StructType([T.StructField(n, t) for n, t in (
@@ -85,7 +88,7 @@ class PacketVerdict(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("arrival_seq", kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("arrival_seq", kind="stable", ignore_index=True)
         ts = batch["ts_us"].fillna(NONE).astype(np.int64).to_numpy()
         flags = {f: batch[f[1:]].fillna(False).astype(bool).to_numpy() for f in FLAGS}
         sound = flags["_readable"] & (ts != NONE) & flags["_complete"] & flags["_numeric"]
@@ -108,11 +111,14 @@ class PacketVerdict(StatefulProcessor):
         self.handle.registerTimer(totals[-1] + int(STALL_SECONDS * 1000))
         self.handle.registerTimer(totals[-1] + self.ttl_ms)
 
-        carried = {c: batch[c].astype(object).where(batch[c].notna(), None).map(lambda v: None if v is None else str(v)).tolist() for c in self.context}
-        yield self._row(
-            key, "packet", n, arrival_seq=batch["arrival_seq"].tolist(), reason=list(why), ts_us=[None if t == NONE else int(t) for t in ts],
-            at_ms=arrived.tolist(), **carried,
-        ).assign(tag=["quarantined" if w is not None else "accepted" for w in why])
+        for at in range(0, n, OUT_ROWS):  # the context is most of a packet: it goes out in pieces, not copied whole
+            part = batch.iloc[at:at + OUT_ROWS]
+            reason, us = why[at:at + OUT_ROWS], ts[at:at + OUT_ROWS]
+            carried = {c: part[c].astype(object).where(part[c].notna(), None).map(lambda v: None if v is None else str(v)).tolist() for c in self.context}
+            yield self._row(
+                key, "packet", len(part), arrival_seq=part["arrival_seq"].tolist(), reason=list(reason), ts_us=[None if t == NONE else int(t) for t in us],
+                at_ms=arrived[at:at + OUT_ROWS].tolist(), **carried,
+            ).assign(tag=["quarantined" if w is not None else "accepted" for w in reason])
         yield self._health(key, totals, "health", totals[-1], False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -153,16 +159,45 @@ def verdict_stream(packets: DataFrame, *, arrived: str, latency: str, context: S
     )
 
 
-def write_in_order(df: DataFrame, folder: str, order: str, pieces: int) -> None:
-    """Replay files: ``pieces`` ranges of ``order``, each written after the one before, so a file source reads them in order."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
+def replay_cuts(df: DataFrame, order: str, pieces: int, rows: int = TRIGGER_ROWS) -> list[int]:
+    """Where each replay file begins: ``pieces`` equal ranges of ``order``, or, beyond ``rows`` rows, as many ranges of about
+    equal row counts as keep each within ``rows`` (rows of one ``order`` value stay together)."""
+    low, high, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
     if low is None:
-        df.limit(0).write.parquet(folder)
+        return []
+    if n <= rows:
+        step = (high - low) // pieces + 1
+        return [low + i * step for i in range(pieces)]
+    pieces = max(pieces, -(-5 * n // (4 * rows)))
+    inner = df.filter(F.col(order).isNotNull()).approxQuantile(order, [i / pieces for i in range(1, pieces)], 0.1 / pieces)
+    return sorted({low, *(int(q) for q in inner)})
+
+
+def write_in_order(df: DataFrame, folder: str, order: str, pieces: int, *, clock: str | None = None, rows: int = TRIGGER_ROWS) -> None:
+    """Replay files: ranges of ``order``, each written after the one before, so a file source reads them in order.
+
+    A file holds at most about ``rows`` rows, so triggers grow in number, not in size. Rows without an order come last.
+    ``clock`` is the arrival time: no packet arrives before the files ahead of it, so one stamped earlier is set to a
+    millisecond after their latest. Without that the watermark would drop it as late and it would get no verdict.
+    """
+    cuts = replay_cuts(df, order, pieces, rows)
+    if not cuts:
+        df.repartition(1).write.parquet(folder)
         return
-    step = (high - low) // pieces + 1
-    for i in range(pieces):
-        part = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(folder)  # a replay file per range: one trigger each
+    latest = {}
+    if clock is not None:
+        piece = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(order)))
+        latest = {r["piece"]: r["at"] for r in df.groupBy(piece.alias("piece")).agg(F.max(F.unix_millis(clock)).alias("at")).collect()}
+    ahead = None
+    for i, cut in enumerate(cuts):
+        last = i + 1 == len(cuts)
+        part = df.filter((F.col(order) >= cut) | F.col(order).isNull() if last else (F.col(order) >= cut) & (F.col(order) < cuts[i + 1]))
+        if ahead is not None:
+            part = part.withColumn(clock, F.when(F.unix_millis(clock) <= ahead, F.timestamp_millis(F.lit(ahead + 1))).otherwise(F.col(clock)))
+        part.repartition(1).write.option("parquet.block.size", GROUP_BYTES).mode("append").parquet(folder)  # one file, so one trigger
+        at = latest.get(i + 1)
+        if at is not None:
+            ahead = at if ahead is None else max(at, ahead + 1)
 
 
 def run_triggers(spark: SparkSession, stream: DataFrame, sink: str, checkpoint: str) -> DataFrame:
