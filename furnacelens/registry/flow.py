@@ -25,12 +25,13 @@ SELECT event_id AS arrival_seq, {rnd(f"avg(CO_CO) OVER ({_W.format(4)})", 'CO_CO
 FROM (SELECT * EXCLUDE (ts) FROM norm WHERE reason IS NULL)""", ["norm"])
 def stream(spark, sf):
     """Raw packets through Structured Streaming: order check and rolling statistics with per-asset state."""
+    from furnacelens.streaming.verdict import write_in_order
+
     folder = scratch_path(spark, "packets")
-    r = raw(spark, sf)
-    # a stream replays files in arrival order; ranges of the sequence make four of them
-    r.repartitionByRange(4, "arrival_seq").sortWithinPartitions("arrival_seq").write.parquet(folder)
+    r = spread_raw(spark, sf)
+    write_in_order(r, folder, "arrival_seq", 1)  # a stream replays files in arrival order, a bounded number of rows each
     ST.use_rocksdb(spark)
-    packets = ST.read_packets(spark, folder, r.schema, files_per_trigger=4)
+    packets = ST.read_packets(spark, folder, r.schema, files_per_trigger=1)
     out = ST.ordered_rolling(ST.checked_stream(decode_packets(packets), COLS), COLS, [5, 30], ["avg", "std", "grad"])
     sink = scratch_path(spark, "stream-out")
     ST.run_available(out, sink, scratch_path(spark, "stream-state"))

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from furnacelens.constants import ROLLING_WINDOWS
 from furnacelens.operators.rolling import GRADIENT_GUARD, STATS
 
+NONE = np.iinfo(np.int64).min
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,6 +32,16 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
 
+def _over_frames(values: np.ndarray, at: np.ndarray, w: int, centre: np.ndarray | None = None) -> np.ndarray:
+    """Sum over the last ``w`` rows up to each row of ``at``, oldest first; squared distances where a ``centre`` is given."""
+    total = np.zeros((len(at), values.shape[1]))
+    for back in range(w - 1, -1, -1):
+        inside = at >= back
+        x = values[at[inside] - back]
+        total[inside] += x if centre is None else (x - centre[inside]) ** 2
+    return total
+
+
 class OrderedRolling(StatefulProcessor):
     """Rejects late packets, then appends window statistics of the accepted ones."""
 
@@ -47,31 +58,29 @@ class OrderedRolling(StatefulProcessor):
         # a micro-batch is bounded by the source option; its chunks must be ordered together
         batch = pd.concat(list(rows)).sort_values("arrival_seq", kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
-        us = batch["ts_us"].to_numpy()
-        sound = batch["sound"].to_numpy()
-        accepted = np.zeros(len(batch), dtype=bool)
-        for i, (t, ok) in enumerate(zip(us, sound)):
-            if ok and (last is None or t > last):
-                accepted[i] = True
-                last = int(t)
+        sound = batch["sound"].to_numpy(dtype=bool)
+        us = np.where(sound, batch["ts_us"].fillna(NONE).astype(np.int64), NONE)
+        # a packet refused for its order never raises the latest timestamp, so the running maximum over sound ones decides
+        running = np.maximum.accumulate(np.r_[NONE if last is None else last, us])
+        accepted = us > running[:-1]
         kept = batch[accepted]
         if kept.empty:
             return
         cap = max(self.windows)
         history = [list(r[0]) for r in self.rows.get()] if self.rows.exists() else []
-        values = np.asarray(history + kept[self.columns].to_numpy(dtype=float).tolist(), dtype=float)
-        self.last.update((last,))
+        values = np.vstack([np.asarray(history, dtype=float).reshape(-1, len(self.columns)), kept[self.columns].to_numpy(dtype=float)])
+        self.last.update((int(running[-1]),))
         self.rows.put([(row.tolist(),) for row in values[-cap:]])
         yield self._block(kept, values, len(history))
 
     def _block(self, kept: pd.DataFrame, values: np.ndarray, offset: int) -> pd.DataFrame:
         made: dict[str, object] = {c: kept[c].to_numpy() for c in ("asset_id", "arrival_seq", "ts_us")}
         for w in self.windows:
-            frames = [values[max(0, i + 1 - w): i + 1] for i in range(offset, len(values))]
-            n = np.array([len(f) for f in frames], dtype=float)
-            mean = np.array([f.mean(axis=0) for f in frames])
-            var = np.array([f.var(axis=0) for f in frames])
-            first = np.array([f[0] for f in frames])
+            at = np.arange(offset, len(values))
+            n = np.minimum(at + 1, w).astype(float)
+            mean = _over_frames(values, at, w) / n[:, None]
+            var = _over_frames(values, at, w, mean) / n[:, None]
+            first = values[np.maximum(at + 1 - w, 0)]
             now = values[offset:]
             grad = np.where(n[:, None] > 1, (now - first) / n[:, None], 0.0)
             roc = np.where(n[:, None] > 1, (now - first) / (first + GRADIENT_GUARD), 0.0)
