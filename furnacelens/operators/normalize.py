@@ -24,8 +24,8 @@ def canonical_timestamp(ts: str | Column) -> Column:
 
 def sensor_value(text: Column, default: float) -> Column:
     """Number from text; missing, empty, unreadable and NaN become the default."""
-    number = text.try_cast("double")
-    return F.coalesce(F.when(~F.isnan(number), number), F.lit(float(default)))
+    fallback = F.lit(float(default))
+    return F.coalesce(F.nanvl(text.try_cast("double"), fallback), fallback)  # the text is parsed once
 
 
 def category_value(text: Column, domain: list[str], default: str) -> Column:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from furnacelens.session import materialise
+
 SLICE_ROWS = 2_000_000
 PLAN_BROADCAST_ROWS = 200_000
 HOUR_MICROS = 3_600_000_000
@@ -108,6 +110,7 @@ def slice_keys(
             break
         width = max(1, width // 64)  # a burst: cut the axis finer until the fullest cell fits
     if carry_max:
+        df = materialise(df, "ordered")  # the carried maxima and the rows both read it: what stands behind runs once
         plan = _plan(df, keys, axis, width, lookback, slice_rows, {n: F.max(c) for n, c in carry_max.items()})
         if local.num_rows <= PLAN_BROADCAST_ROWS:
             local = plan.toArrow()

@@ -10,6 +10,8 @@ from furnacelens.operators.ordered import SLICE_ROWS, running_max_before
 
 REQUIRED_FIELDS = RAW_SENSORS + list(CATEGORY_DOMAINS) + list(BOOLEAN_DEFAULTS)
 
+PLAIN_NUMBER = r"\A-?[0-9]{1,30}(\.[0-9]{1,30})?\z"
+
 
 def has_timestamp(packet: str = "packet") -> Column:
     return F.coalesce(F.map_contains_key(packet, F.lit("Timestamp")), F.lit(False))
@@ -30,8 +32,9 @@ def missing_fields(packet: str = "packet") -> Column:
 
 def unreadable_sensors(packet: str = "packet") -> Column:
     """Sensors whose value is present but is not a number."""
+    # plain digits always parse, and the pattern costs a fraction of parsing seventeen of them
     bad = [
-        F.when(F.col(packet)[s].isNotNull() & F.col(packet)[s].try_cast("double").isNull(), F.lit(s)) for s in RAW_SENSORS
+        F.when(~F.col(packet)[s].rlike(PLAIN_NUMBER) & F.col(packet)[s].try_cast("double").isNull(), F.lit(s)) for s in RAW_SENSORS
     ]
     return F.array_compact(F.array(*bad))
 

@@ -18,16 +18,17 @@ from furnacelens.operators.validate import check_fields, order_verdict
 from furnacelens.sources.files import decode_packets
 
 
-def validated_packets(raw: DataFrame, *, keep: Sequence[str] = (), **order) -> DataFrame:
+def validated_packets(raw: DataFrame, *, keep: Sequence[str] = (), fields: Sequence[str] | None = None, **order) -> DataFrame:
     """Decode, check and normalise before the first shuffle, then settle the order.
 
-    JSON text and the decoded map stay on the map side; only typed columns are shuffled.
+    JSON text and the decoded map stay on the map side; only typed columns are shuffled. ``fields`` names the
+    normalised fields the caller reads, all when None: a hot asset's rows are written once, so unread ones would be too.
     """
     checked = check_fields(decode_packets(raw))
     flags = ["_readable", "_has_ts", "_complete", "_numeric"]
     typed = checked.select(
         "asset_id", "arrival_seq", *keep, F.date_trunc("second", "ts").alias("ts"), *flags,
-        *[c.alias(n) for n, c in normalised_fields().items()],
+        *[c.alias(n) for n, c in normalised_fields().items() if fields is None or n in fields],
     )
     return order_verdict(typed, **order)
 

@@ -177,7 +177,7 @@ def health_rows(spark, sf):
     """Validated packets with the text timestamp and a latency reading (the event value, in ms)."""
     from furnacelens.registry.base import events
 
-    v = validated_packets(raw(spark, sf)).select("asset_id", "arrival_seq", "is_valid", "ts")
+    v = validated_packets(raw(spark, sf), fields=[]).select("asset_id", "arrival_seq", "is_valid", "ts")
     v = v.withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     extra = events(spark, sf).select(F.col("event_id").alias("arrival_seq"), F.col("value").alias("latency_ms"), F.col("ts").cast("timestamp").alias("arrived"))
     return v.join(extra, "arrival_seq")
@@ -191,14 +191,14 @@ SELECT asset_id, count(*) AS packets_received, arg_max(ts_text, event_id) AS las
   count(*) FILTER (reason IS NOT NULL) AS packets_failed_validation,
   round(100e0 * count(*) FILTER (reason IS NOT NULL) / count(*), 2) AS packet_loss_rate_pct FROM {_HEALTH_SQL} GROUP BY asset_id""", ["verdict"])
 def n01(spark, sf):
-    v = validated_packets(raw(spark, sf)).withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    v = validated_packets(raw(spark, sf), fields=[]).withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     out = H.packet_counts(v, ["asset_id"], ts_text="ts_text", seq="arrival_seq", valid="is_valid")
     return out.drop("packets_accepted")
 
 
 @query("n02_failed_by_reason", "SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM verdict GROUP BY ALL", ["verdict"])
 def n02(spark, sf):
-    v = validated_packets(raw(spark, sf))
+    v = validated_packets(raw(spark, sf), fields=[])
     return v.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -206,7 +206,7 @@ def n02(spark, sf):
 SELECT asset_id, hour(ts) AS hour, round(100e0 * count(*) FILTER (reason IS NOT NULL) / count(*), 2) AS packet_loss_rate_pct
 FROM (SELECT asset_id, event_id, reason, pts AS ts FROM verdict) GROUP BY ALL""", ["verdict"])
 def n03(spark, sf):
-    v = validated_packets(raw(spark, sf)).withColumn("hour", F.hour("ts").cast("long"))
+    v = validated_packets(raw(spark, sf), fields=[]).withColumn("hour", F.hour("ts").cast("long"))
     out = H.packet_counts(v, ["asset_id", "hour"], ts_text="ts", seq="arrival_seq", valid="is_valid")
     return out.select("asset_id", "hour", "packet_loss_rate_pct")
 
@@ -215,7 +215,7 @@ def n03(spark, sf):
 SELECT asset_id, day, round(least(count(*), 30) / 30e0 * 100e0, 2) AS buffer_utilization_pct FROM (
   SELECT asset_id, strftime(pts, '%Y-%m-%d %H') AS day FROM verdict WHERE reason IS NULL) GROUP BY ALL""", ["verdict"])
 def n04(spark, sf):
-    v = validated_packets(raw(spark, sf)).filter("is_valid").withColumn("day", F.date_format("ts", "yyyy-MM-dd HH"))
+    v = validated_packets(raw(spark, sf), fields=[]).filter("is_valid").withColumn("day", F.date_format("ts", "yyyy-MM-dd HH"))
     return v.groupBy("asset_id", "day").agg(H.buffer_utilisation(F.count(F.lit(1))).alias("buffer_utilization_pct"))
 
 
