@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,11 +109,11 @@ def tree_contributions(
     shared = spark.sparkContext.broadcast(leaves)
     names = list(features)
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = [(w * v, b, _pattern_table(np.array([x[3] for x in b]))) for w, v, b in shared.value if b]
-        for pdf in batches:
-            x = pdf[names].to_numpy(dtype=float)
-            cls = pdf[prediction].to_numpy(dtype=int) if prediction else np.zeros(len(pdf), dtype=int)
+        for batch in batches:
+            x = np.column_stack([batch.column(n).to_pandas().to_numpy(dtype=float) for n in names])
+            cls = batch.column(prediction).to_pandas().to_numpy(dtype=int) if prediction else np.zeros(len(x), dtype=int)
             phi = np.zeros_like(x)
             for values, bounds, table in prepared:
                 pattern = np.zeros(len(x), dtype=np.int64)
@@ -121,16 +121,19 @@ def tree_contributions(
                     pattern += ((x[:, f] > lo) & (x[:, f] <= hi)).astype(np.int64) << i
                 share = table[pattern] * values[cls][:, None]
                 phi[:, [b[0] for b in bounds]] += share
-            result = pdf[list(keep)].copy()
-            result[out] = [
-                [{"feature": n, "val": float(v), "contribution": float(p)} for n, v, p in zip(names, xs, ps)]
-                for xs, ps in zip(x, phi)
-            ]
-            yield result
+            # columns from flat arrays: an object per row and feature would outweigh the batch many times over
+            which = pa.array(np.tile(np.arange(len(names), dtype=np.int32), len(x)))
+            items = pa.StructArray.from_arrays(
+                [pa.DictionaryArray.from_arrays(which, pa.array(names)).dictionary_decode(), pa.array(x.ravel(), from_pandas=True), pa.array(phi.ravel(), from_pandas=True)],
+                names=["feature", "val", "contribution"],
+            )
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names))
+            carried = {k: batch.column(k) for k in keep}
+            yield pa.RecordBatch.from_pydict({**carried, out: pa.ListArray.from_arrays(offsets, items)})
 
     schema = T.StructType([df.schema[k] for k in keep] + [T.StructField(out, T._parse_datatype_string(CONTRIBUTION))])
     wanted = list(dict.fromkeys([*keep, *names, *([prediction] if prediction else [])]))
-    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInPandas(explain, schema)
+    return df.select(*[F.col(f"`{c}`") for c in wanted]).mapInArrow(explain, schema)
 
 
 def expected_value(leaves: list[tuple]) -> np.ndarray:
