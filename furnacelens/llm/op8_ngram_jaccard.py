@@ -5,8 +5,10 @@ cut into bands; a scheme serves two adjacent bands and hashes the token universe
 sum(theta + 1) > H over the segments, one segment of two linked sets differs in no more than its theta tokens: theta 0
 indexes a segment's subset of tokens, theta 1 also its one-deletion neighbourhood. Which of the two a scheme takes is
 decided by cost from the corpus' own size histogram (index entries against expected chance meetings). Segments too
-small to tell sets apart are never indexed; spare segments make up for them, and sets with more of those than spares
-also index the combinations of them, so nothing is lost.
+small to tell sets apart are never indexed; spare segments make up for them, as many as such segments are to be
+expected in sets of the scheme. A set with more of them than spares also indexes combinations of up to three of the
+first ones, all but as many as the spares allow: two sets with more in common than there are spares share their first
+three, so nothing is lost.
 
 Equal sets are one class from the start. Signatures that occur once go by the count-min sketch. Groups of equal
 signatures with few pairs across components are compared pair by pair; in the others every set is measured against the
@@ -40,7 +42,8 @@ from furnacelens.llm.components import components
 from furnacelens.llm.words import LOWER, NON_SPACE, U, distinct_by, mix, salted, signed, slices, split, windows
 from furnacelens.session import materialise
 
-SPARE = 2  # segments beyond H + 1 where theta is 0
+SPARE = 2  # least number of segments beyond H + 1 where theta is 0
+NAMED = 3  # segments too small to tell sets apart that make one index entry
 FEW_PAIRS = 2  # pairs across components per set of a group, up to which they are compared at once; four times as many each turn
 TURNS = 4  # pivots of a group; what is left after the last one is compared whatever its size
 
@@ -70,8 +73,31 @@ def _sums(x: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return c[ptr[1:]] - c[ptr[:-1]]
 
 
+def _spares(h: int, size: float) -> tuple[int, float, float]:
+    """(spares, entries, chance): the cheapest number of spares for sets of ``size`` tokens that differ in up to ``h``.
+
+    The entries of a set are its segments and the expected combinations of empty ones; the chance is that of a meeting
+    of two unlike sets in a combination.
+    """
+    best, s = None, SPARE
+    while best is None or h + 1 + s < best[1]:
+        m = h + 1 + s
+        empty = math.exp(-size / m)
+        mean = m * empty
+        sd = math.sqrt(max(mean * (1 - (1 + size / m) * empty), 1e-9))
+        lows = np.arange(s + 1, s + 2 + int(max(0.0, mean - s) + 8 * sd + 8))
+        chance = np.exp(-(((lows - mean) / sd) ** 2) / 2) / (sd * math.sqrt(2 * math.pi))
+        named = min(NAMED, s + 1)
+        x = lows - s - 1.0
+        made = float((chance * np.prod([(x + i) / i for i in range(1, named + 1)], axis=0)).sum())
+        if best is None or m + made < best[1]:
+            best = s, m + made, made * min(1.0, made) * empty**named
+        s += 1 + s // 8
+    return best
+
+
 class Schemes:
-    """Size bands and, per scheme, the number of segments and whether they index one-deletion neighbourhoods."""
+    """Size bands and, per scheme, the numbers of segments and spares and whether they index one-deletion neighbourhoods."""
 
     def __init__(self, histogram: dict[int, int], num: int, den: int) -> None:
         self.edges = [1]
@@ -83,17 +109,18 @@ class Schemes:
         counts = np.zeros(len(e), np.int64)
         for n, c in histogram.items():
             counts[self.band(n)] += c
-        self.m, self.theta = np.zeros(len(e), np.int64), np.zeros(len(e), np.int64)
+        self.m, self.theta, self.spare = (np.zeros(len(e), np.int64) for _ in range(3))
         for k in range(len(e) - 2):
             h = (den - num) * 2 * (e[k + 2] - 1) // (den + num)  # the most by which two sets of the scheme differ
             if h < 1 or e[k + 2] > 1 << 60:
                 continue
             sets, size = float(counts[k] + counts[k + 1]), (e[k] + e[k + 1]) / 2
-            m0, m1 = h + 1 + SPARE, (h + 2) // 2
-            a0, a1 = size / m0, size / m1
-            cost0 = sets * m0 + sets**2 / 2 * math.comb(m0, SPARE + 1) * math.exp(-2 * a0 * (SPARE + 1))
+            spare, entries, chance = _spares(h, float(e[k]))
+            m0, m1 = h + 1 + spare, (h + 2) // 2
+            a1 = size / m1
+            cost0 = sets * entries + sets**2 / 2 * chance
             cost1 = sets * (m1 + size) + (sets**2 / 2 * m1 * ((1 + a1) * math.exp(-a1)) ** 2 if m1 > 1 else 0)
-            self.m[k], self.theta[k] = (m1, 1) if cost1 < cost0 else (m0, 0)
+            self.m[k], self.theta[k], self.spare[k] = (m1, 1, 0) if cost1 < cost0 else (m0, 0, spare)
 
     def band(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, "right")) - 1
@@ -127,13 +154,14 @@ def signatures(h: np.ndarray, row: np.ndarray, ptr: np.ndarray, schemes: Schemes
         near = np.flatnonzero((theta[r] == 1) & (size[seg] > 1))
         out.append(mix(total[seg[near]] - value[used][near] + name[seg[near]]))
         rows.append(r[near])
-        spare = np.where(theta == 1, 0, SPARE)
+        spare = schemes.spare[scheme]
         lows = np.bincount(owner[low], minlength=len(m))
         for i in np.flatnonzero(lows > spare):
-            names = name[base[i] : base[i + 1]][low[base[i] : base[i + 1]]]
-            for c in combinations(names.tolist(), int(spare[i]) + 1):
-                out.append(mix(np.array([sum(c) & 0xFFFFFFFFFFFFFFFF], U) + U(9)))
-                rows.append(np.array([i]))
+            named = min(NAMED, int(spare[i]) + 1)
+            names = name[base[i] : base[i + 1]][low[base[i] : base[i + 1]]][: lows[i] - spare[i] - 1 + named]
+            c = np.array(list(combinations(range(len(names)), named)))
+            out.append(mix(names[c].sum(axis=1, dtype=U) + U(9)))
+            rows.append(np.full(len(c), i))
     if not out:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(out), np.concatenate(rows)
