@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furnacelens.constants import (
     BUFFER_ROWS,
@@ -30,6 +33,69 @@ def _tick(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def _moments(x: np.ndarray, inside: list[np.ndarray], w: int, cap: int, rows: int, variance: bool) -> tuple[np.ndarray, ...]:
+    """(readings, mean, variance) over the last ``w`` rows; ``x`` starts ``cap`` rows early and is NaN where missing.
+
+    The readings of a frame are taken in oldest first, in the order and by the updates of Spark's own aggregates.
+    """
+    n, total, mean, m2 = (np.zeros(rows) for _ in range(4))
+    for back in range(w - 1, -1, -1):
+        now = x[cap - back : cap - back + rows]
+        ok = inside[back] & ~np.isnan(now)
+        np.add(total, now, out=total, where=ok)
+        np.add(n, 1.0, out=n, where=ok)
+        if variance:
+            delta = now - mean
+            part = delta / np.maximum(n, 1.0)
+            np.add(mean, part, out=mean, where=ok)
+            np.add(m2, delta * (delta - part), out=m2, where=ok)
+    some = np.maximum(n, 1.0)
+    return n, total / some, m2 / some
+
+
+def _frames(keys: Sequence[str], columns: int, windows: Sequence[int], mean: bool, variance: bool):
+    """Appends the frame columns to batches in order of key and time; only the last rows are carried between batches."""
+    cap = max(windows) - 1
+
+    def of(batches):
+        tail, last, carried = np.full((columns, cap), np.nan), None, 0
+        for b in batches:
+            rows = b.num_rows
+            if not rows:
+                continue
+            names = b.schema.names
+            key = [b.column(names.index(k)) for k in keys]
+            joined = key if last is None else [pa.concat_arrays([x, y]) for x, y in zip(last, key)]
+            codes = [x.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for x in joined]
+            new = np.any([np.diff(c) != 0 for c in codes], axis=0)
+            new = np.r_[True, new] if last is None else new
+            at = np.arange(rows)
+            place = at - np.maximum.accumulate(np.where(new, at, -carried))  # rows of the key before this one
+            last, carried = [x.slice(rows - 1) for x in key], int(place[-1]) + 1
+            inside = [place >= back for back in range(cap + 1)]
+            x = np.stack([b.column(names.index(f"_rw_x{i}")).to_numpy(zero_copy_only=False) for i in range(columns)])
+            x = np.concatenate([tail, x], axis=1)
+            tail = x[:, x.shape[1] - cap :]
+            made = {f"_rw_n{w}": pa.array(np.minimum(place + 1, w)) for w in windows}
+            with np.errstate(all="ignore"):
+                for i in range(columns):
+                    for w in windows:
+                        if mean or variance:
+                            n, a, v = _moments(x[i], inside, w, cap, rows, variance)
+                            made[f"_rw_a{i}_{w}"] = pa.array(a, mask=n == 0)
+                            made[f"_rw_v{i}_{w}"] = pa.array(v, mask=n == 0)
+                        first = x[i][cap + at - np.minimum(place, w - 1)]
+                        made[f"_rw_f{i}_{w}"] = pa.array(first, mask=np.isnan(first))
+            made = {k: v for k, v in made.items() if (mean or k[4] != "a") and (variance or k[4] != "v")}
+            yield pa.RecordBatch.from_arrays([*b.columns, *made.values()], names=[*names, *made])
+
+    fields = [T.StructField(f"_rw_n{w}", T.LongType()) for w in windows]
+    for i in range(columns):
+        for w in windows:
+            fields += [T.StructField(f"_rw_{k}{i}_{w}", T.DoubleType()) for k, asked in (("a", mean), ("v", variance), ("f", True)) if asked]
+    return of, fields
+
+
 def rolling_stats(
     df: DataFrame,
     columns: Sequence[str] = PHYSICAL_SENSORS,
@@ -46,9 +112,10 @@ def rolling_stats(
 ) -> DataFrame:
     """``{column}_roll_{stat}_{W}`` over the last W rows of the key, the current row included.
 
-    One sort and one window node serve every column and window; the aggregates of one length share its
-    frame. Mean and variance are the built-in ones, so they skip missing readings and stay exact under
-    drift. A NaN reading is missing, as null is: mean and variance are null where the frame holds no
+    One shuffle and one sort serve every column and window. Spark's sliding frames take in all rows of a frame
+    anew for every row and aggregate, so mean and variance are computed on the arrays of a batch instead, by
+    the same updates in the same order: they skip missing readings and stay exact under drift. First value
+    and count alone stay a window. A NaN reading is missing, as null is: mean and variance are null where the frame holds no
     reading, gradient and rate where its first or last row holds none (a lone row gives 0). The divisor of
     the gradient is the number of rows of the frame. ``extra`` adds ``name: (aggregate, rows)`` on the
     same sort. The expressions are SQL text: hundreds of columns then cost one call instead of thousands.
@@ -62,17 +129,20 @@ def rolling_stats(
         return f"OVER ({order} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
 
     readings = sliced.df.selectExpr("*", *[f"nullif(CAST({_tick(c)} AS DOUBLE), double('NaN')) AS _rw_x{i}" for i, c in enumerate(columns)])
-    framed = [f"count(1) {last(w)} AS _rw_n{w}" for w in windows]
-    for i in range(len(columns)):
-        for w in windows:
-            if "avg" in stats:
-                framed.append(f"avg(_rw_x{i}) {last(w)} AS _rw_a{i}_{w}")
-            if {"var", "std"} & set(stats):
-                framed.append(f"var_pop(_rw_x{i}) {last(w)} AS _rw_v{i}_{w}")
-            if {"grad", "roc"} & set(stats):
-                framed.append(f"first_value(_rw_x{i}) {last(w)} AS _rw_f{i}_{w}")
-    framed += [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
-    staged = readings.selectExpr("*", *framed)
+    more = [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
+    mean, variance = "avg" in stats, bool({"var", "std"} & set(stats))
+    if mean or variance:
+        dealt = readings.repartition(*map(_tick, sliced.keys))
+        dealt = dealt.selectExpr("*", *more) if more else dealt
+        halo = ["_sl_halo"] if sliced.hot else []
+        needed = [*base, *(extra or {}), *sliced.keys, *halo, ts, tie, *[f"_rw_x{i}" for i in range(len(columns))]]
+        ordered = dealt.sortWithinPartitions(*map(_tick, [*sliced.keys, ts, tie])).select(*map(_tick, dict.fromkeys(needed)))
+        of, fields = _frames(sliced.keys, len(columns), list(windows), mean, variance)
+        staged = ordered.mapInArrow(of, T.StructType([*ordered.schema.fields, *fields]))
+    else:
+        framed = [f"count(1) {last(w)} AS _rw_n{w}" for w in windows]
+        framed += [f"first_value(_rw_x{i}) {last(w)} AS _rw_f{i}_{w}" for i in range(len(columns)) for w in windows]
+        staged = readings.selectExpr("*", *framed, *more)
 
     made = {}
     for i, c in enumerate(columns):
