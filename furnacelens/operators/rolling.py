@@ -80,13 +80,13 @@ def _frames(keys: Sequence[str], columns: int, windows: Sequence[int], mean: boo
             with np.errstate(all="ignore"):
                 for i in range(columns):
                     for w in windows:
-                        if mean or variance:
-                            n, a, v = _moments(x[i], inside, w, cap, rows, variance)
+                        n, a, v = _moments(x[i], inside, w, cap, rows, variance)
+                        if mean:
                             made[f"_rw_a{i}_{w}"] = pa.array(a, mask=n == 0)
+                        if variance:
                             made[f"_rw_v{i}_{w}"] = pa.array(v, mask=n == 0)
                         first = x[i][cap + at - np.minimum(place, w - 1)]
                         made[f"_rw_f{i}_{w}"] = pa.array(first, mask=np.isnan(first))
-            made = {k: v for k, v in made.items() if (mean or k[4] != "a") and (variance or k[4] != "v")}
             yield pa.RecordBatch.from_arrays([*b.columns, *made.values()], names=[*names, *made])
 
     fields = [T.StructField(f"_rw_n{w}", T.LongType()) for w in windows]
@@ -131,7 +131,7 @@ def rolling_stats(
     readings = sliced.df.selectExpr("*", *[f"nullif(CAST({_tick(c)} AS DOUBLE), double('NaN')) AS _rw_x{i}" for i, c in enumerate(columns)])
     more = [f"{agg} {last(rows)} AS {_tick(name)}" for name, (agg, rows) in (extra or {}).items()]
     mean, variance = "avg" in stats, bool({"var", "std"} & set(stats))
-    if mean or variance:
+    if columns and windows and (mean or variance):
         dealt = readings.repartition(*map(_tick, sliced.keys))
         dealt = dealt.selectExpr("*", *more) if more else dealt
         halo = ["_sl_halo"] if sliced.hot else []
