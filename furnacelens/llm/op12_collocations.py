@@ -1,10 +1,10 @@
 """Phrase collocation mining by top-order marginalisation.
 
-Every word position of a piece gives one lead window of the ``order`` words from it on, padded with nulls where the
-piece ends. Only these longest windows are counted; Spark's ROLLUP over (lang, w1, w2, w3) then sums successively
-shorter prefixes, so one grouping yields the counts of all phrases of 1, 2 and 3 words and the number of words of each
-language, with no separate explosion per length (grouping_id tells the levels apart; a padded window is no phrase of
-its level). A candidate of 2 to 3 words occurring ``min_count`` times or more is scored at each cut into a first part
+Every word position of a piece gives one lead window of three words from it on, padded with nulls where the piece
+ends or the phrase is too rare to count. Only these longest windows are counted; Spark's ROLLUP over (lang, w1, w2, w3)
+then sums successively shorter prefixes, so one grouping yields the counts of all phrases of 1, 2 and 3 words and the
+number of words of each language, with no separate explosion per length (grouping_id tells the levels apart; a padded
+window is no phrase of its level). A candidate of 2 to 3 words occurring ``min_count`` times or more is scored at each cut into a first part
 and the rest, floor(1e6 * a^2 / (l * r)); the lowest cut counts, ties to the smallest cut. A candidate lying inside a
 longer candidate that occurs at least half as often is dropped. Each language keeps its first ``top`` by score, count
 and phrase.
@@ -12,67 +12,141 @@ and phrase.
 Defined cases. Null text is empty, null lang is ``und``. Only A-Z are lower-cased. Pieces end at . , ; : ! ? and
 \\x0A-\\x0D; words are runs of anything but space and tab. Arithmetic is exact (decimals; products may pass 64 bits).
 Repeated rows count each time. An empty table, or one without candidates, gives no rows. Other columns are ignored.
-Skew: the rollup aggregates map side before the shuffle, so a frequent word or a hot language reaches it as one row per
-task; the top rows of a language are chosen per hash slice first, then among the slices' winners.
+Words and phrases are compared by 64-bit hashes within a task, by their text across tasks.
+Skew: equal windows are added up map side before the shuffle, so a frequent word or a hot language reaches it as one row
+per task; the top rows of a language are chosen per hash slice first, then among the slices' winners.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furnacelens.llm import buckets
+from furnacelens.llm.words import LOWER, U, mix, salted, slices, split
 from furnacelens.session import materialise
 
 # fixed values of the contract
-UPPER, LOWER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE = r"[.,;:!?\x0A-\x0D]"
-SPACE = r"[\x20\x09]+"
+ENDS_PIECE = np.zeros(256, bool)
+ENDS_PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+IN_WORD = ~ENDS_PIECE
+IN_WORD[[0x20, 0x09]] = False
 MIN_COUNT = 10
 HALF = 50  # percent of a candidate's count that a longer one must reach to absorb it
 TOP = 2000
 SLICES = 64
-BROADCAST_PAIRS = 4_000_000  # frequent pairs broadcast as (lang, hash) rows; beyond, joined by shuffle
+HELD = 400_000  # windows of some slices that a task adds up at once
+BATCH = 50_000
+
+
+def _hashes(b: pa.RecordBatch):
+    """(words, word and pair in one piece with the next, pair hashes, triple hashes, languages, language of each row).
+
+    Hashes are of 64 bits and take in the language; a last word has no pair, the last two have no triple.
+    """
+    w = split(b.column(1), IN_WORD, LOWER)
+    langs = pc.fill_null(b.column(0), "und").dictionary_encode()
+    salt = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in langs.dictionary.to_pylist()], U)
+    code = langs.indices.to_numpy()
+    # pieces ended before each byte
+    ended = np.concatenate([[0], np.cumsum(ENDS_PIECE[w.data])])
+    linked = (w.row[:-1] == w.row[1:]) & (ended[w.ends[:-1]] == ended[w.starts[1:]])
+    one = mix(w.hash + salt[code[w.row]]) if len(w.row) else w.hash
+    pair = mix(one[:-1] + salted(w.hash[1:], 2))
+    return w, linked, one, pair, mix(pair[:-1] + salted(w.hash[2:], 3)), langs.dictionary, code
+
 
+def _columns(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
-def piece_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, ws): the words of each piece."""
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER_CASE)
-    pieces = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece"))
-    return pieces.select("lang", F.array_remove(F.split("piece", SPACE), "").alias("ws"))
 
+def frequent_pairs(docs: DataFrame, min_count: int):
+    """Bitmap of the pairs that may occur ``min_count`` times or more."""
+    def keys(batches):
+        for b in slices(batches, "text"):
+            _, linked, _, pair, *_ = _hashes(b)
+            yield pair[linked]
 
-def lead_windows(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w1, w2, w3): one row per word occurrence, the words after it in its piece or null."""
-    lead = F.transform("ws", lambda x, i: F.struct(x.alias("w1"), F.get("ws", i + 1).alias("w2"), F.get("ws", i + 2).alias("w3")))
-    return piece_words(docs, text_col, lang_col).select("lang", F.inline(lead))
+    return buckets.frequent(docs, keys, min_count)
 
 
-def pair_hashes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, h): xxhash64 of every two neighbouring words of a piece, as ``xxhash64(w1, w2)`` of the lead windows."""
-    pairs = F.slice(F.transform("ws", lambda x, i: F.xxhash64(x, F.get("ws", i + 1))), 1, F.greatest(F.size("ws") - 1, F.lit(0)))
-    return piece_words(docs, text_col, lang_col).select("lang", F.explode(pairs).alias("h"))
+def frequent_triples(docs: DataFrame, pairs, min_count: int):
+    """Bitmap of the triples that may; both pairs of such a triple do."""
+    def keys(batches):
+        for b in slices(batches, "text"):
+            _, linked, _, pair, triple, *_ = _hashes(b)
+            hot = linked & buckets.passes(pairs.value, pair)
+            yield triple[hot[:-1] & hot[1:]]
+
+    return buckets.frequent(docs, keys, min_count)
+
+
+def lead_windows(docs: DataFrame, pairs, triples) -> DataFrame:
+    """(lang, w1, w2, w3, c): each word with the words after it in its piece, cut where a phrase is rare, and how often.
+
+    Equal windows of a task are added up, some hundred thousand at a time.
+    """
+    def merged(held):
+        keys, counts, rows = (list(x) for x in zip(*held))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        total = np.bincount(which, counts, len(at)).astype(np.int64)
+        t = pa.Table.from_batches(rows).take(pa.array(at)).append_column("c", pa.array(total))
+        yield from t.combine_chunks().to_batches(BATCH)
+
+    def of(batches):
+        held, n = [], 0
+        for b in slices(batches, "text"):
+            w, linked, one, pair, triple, langs, code = _hashes(b)
+            m = len(w.hash)
+            if not m:
+                continue
+            two, three = np.zeros(m, bool), np.zeros(m, bool)
+            two[:-1] = linked & buckets.passes(pairs.value, pair)
+            three[:-2] = two[:-2] & two[1:-1] & buckets.passes(triples.value, triple) if m > 2 else False
+            key = one.copy()
+            key[:-1][two[:-1]] = pair[two[:-1]]
+            if m > 2:
+                key[:-2][three[:-2]] = triple[three[:-2]]
+            key, at, counts = np.unique(key, return_index=True, return_counts=True)
+            _, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+            text = LOWER[w.data].tobytes()
+            names = pa.array([text[i:j] for i, j in zip(w.starts[first].tolist(), w.ends[first].tolist())], pa.binary()).cast(pa.string())
+
+            def words(step, kept):
+                return names.take(pa.array(word[np.minimum(at + step, m - 1)], mask=~kept[at]))
+
+            columns = [langs.take(pa.array(code[w.row[at]])), names.take(pa.array(word[at])), words(1, two), words(2, three)]
+            held.append((key, counts, pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3"])))
+            n += len(key)
+            if n >= HELD:
+                yield from merged(held)
+                held, n = [], 0
+        if held:
+            yield from merged(held)
+
+    return docs.mapInArrow(of, "lang string, w1 string, w2 string, w3 string, c long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT) -> DataFrame:
     """(level, lang, w1, w2, w3, f): level 3, 2, 1 for phrases of that many words, 0 for all words of the language.
 
-    Counts are exact for every word, for every pair occurring ``min_count`` times or more and for every triple whose two
-    pairs do: a window keeps its second word only where its first pair is frequent and its third only where both are,
-    since a phrase occurs no more often than any part of it. Pairs are judged by a 64-bit hash in one grouping first;
-    two pairs on one hash only add up, so no frequent pair is missed. Shorter phrases are cut where they cannot count,
-    and the trailing nulls of the rollup then gather them.
+    Counts are exact for every word and for every pair and triple occurring ``min_count`` times or more: a window keeps
+    its second word only where its first pair may be frequent and its third only where the triple and both its pairs
+    may, since a phrase occurs no more often than any part of it. Pairs and then triples are judged by counts of hash
+    buckets, which miss no frequent phrase. Shorter phrases are cut where they cannot count, and the trailing nulls of
+    the rollup then gather them.
     """
-    windows = lead_windows(docs, text_col, lang_col)
-    pair = F.xxhash64("w1", "w2")
-    frequent = pair_hashes(docs, text_col, lang_col).groupBy("lang", "h").agg(F.count("*").alias("f")).filter(F.col("f") >= min_count)
-    frequent = materialise(frequent.select("lang", "h"), "frequent_pairs")
-    small = F.broadcast if frequent.count() <= BROADCAST_PAIRS else (lambda df: df)
-    first = small(frequent.select("lang", F.col("h").alias("h12"), F.lit(True).alias("k12")))
-    second = small(frequent.select("lang", F.col("h").alias("h23"), F.lit(True).alias("k23")))
-    windows = windows.withColumns({"h12": pair, "h23": F.xxhash64("w2", "w3")}).join(first, ["lang", "h12"], "left").join(second, ["lang", "h23"], "left")
-    k12 = F.coalesce("k12", F.lit(False))
-    cut = windows.select("lang", "w1", F.when(k12, F.col("w2")).alias("w2"), F.when(k12 & F.coalesce("k23", F.lit(False)), F.col("w3")).alias("w3"))
-    rolled = cut.rollup("lang", "w1", "w2", "w3").agg(F.count("*").alias("f"), F.grouping_id().alias("gid"))
+    docs = _columns(docs, text_col, lang_col)
+    pairs = frequent_pairs(docs, min_count)
+    triples = frequent_triples(docs, pairs, min_count)
+    windows = lead_windows(docs, pairs, triples).groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("c"))
+    rolled = windows.rollup("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f"), F.grouping_id().alias("gid"))
     level = F.when(F.col("gid") == 0, 3).when(F.col("gid") == 1, 2).when(F.col("gid") == 3, 1).when(F.col("gid") == 7, 0)
     useful = (F.col("gid") == 0) & F.col("w3").isNotNull() | (F.col("gid") == 1) & F.col("w2").isNotNull() | F.col("gid").isin(3, 7)
     return rolled.filter(useful).select(level.alias("level"), "lang", "w1", "w2", "w3", "f")

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from check_oracle import compare
-from furnacelens.llm import op11_divergence, op12_collocations, op13_secrets
+from furnacelens.llm import buckets, op11_divergence, op12_collocations, op13_secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, c long, V long, rank int"
 PROSE = "The quick brown fox jumps over the lazy dog"
@@ -100,6 +100,41 @@ def test_collocations_drop_pairs_inside_triples(spark):
     assert got == {"new york city", "big apple pie"}
 
 
+def test_collocations_shuffle_buckets_not_pairs(spark):
+    """Pairs met once each: none reaches a shuffle as a row, the cut windows are the words alone."""
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(60)]
+    pairs = [(a, b) for a in names for b in names]
+    rng.shuffle(pairs)
+    text = [". ".join(f"{a} {b}" for a, b in pairs[i::4]) for i in range(4)] + ["one two three. " * 12]
+    docs = spark.createDataFrame([(i, t, "en", "a", None, None, None, None) for i, t in enumerate(text)], SCHEMA).repartition(2).select("lang", "text")
+    hot = op12_collocations.frequent_pairs(docs, 10)
+    triples = op12_collocations.frequent_triples(docs, hot, 10)
+    got = {(r.w1, r.w2, r.w3) for r in op12_collocations.lead_windows(docs, hot, triples).collect()}
+    assert got == {(n, None, None) for n in names} | {("one", "two", "three"), ("two", "three", None), ("three", None, None)}
+
+
+def test_frequent_buckets_miss_no_key(spark):
+    """Several flushes, tasks and folds; keys at and just below the least count, one far above it."""
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 63, 4000, dtype=np.int64).astype(np.uint64) * np.uint64(2)
+    counts = rng.integers(1, 20, 4000)
+    counts[0] = 5000
+    rows = [(int(k),) for k in rng.permutation(np.repeat(keys, counts)).view(np.int64)]
+    source = spark.createDataFrame(rows, "k long").repartition(3)
+
+    def keys_of(batches):
+        for b in batches:
+            yield b.column(0).to_numpy().view(np.uint64)
+
+    want = counts >= 10
+    found = buckets.passes(buckets.frequent(source, keys_of, 10).value, keys)
+    assert found[want].all() and not found[~want].any()
+    row = next(buckets._packed(np.sort((keys >> np.uint64(32)).astype(np.uint32)), 10))
+    back = [np.uint32(k << buckets.RANGE_BITS) + buckets._unpacked(s, x) for k, s, x in zip(*(c.to_pylist() for c in row.columns))]
+    assert (np.concatenate(back) == np.sort(keys >> np.uint64(32))).all()
+
+
 def spans_by_brute_force(text):
     """(base, all) span strings of one text by Python's re, without the method."""
     text = text or ""
