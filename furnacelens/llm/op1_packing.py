@@ -23,7 +23,7 @@ from furnacelens.llm.tokens import DROPPED, encode, vocabulary
 from furnacelens.llm.words import slices
 from furnacelens.session import materialise
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def encode_documents(docs: DataFrame, id_col: str, text_col: str, path: str, blank: str, end_id: int) -> DataFrame:

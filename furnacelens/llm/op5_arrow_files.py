@@ -29,7 +29,7 @@ from furnacelens.llm.tokens import GLUED, encode, encoder, vocabulary
 from furnacelens.llm.words import slices
 from furnacelens.session import materialise, scratch_path
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 SEQUENCES = 128  # in a batch
 
 

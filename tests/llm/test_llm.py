@@ -65,6 +65,42 @@ def test_chunked_ids_are_those_of_whole_texts(docs, name, blank):
         assert got.ids[got.first[i] : got.first[i + 1]].tolist() == ids
 
 
+@pytest.mark.parametrize("name,blank", [("word_bpe_49k.json", tokens.DROPPED), ("byte_bpe_50k.json", tokens.GLUED)])
+def test_joined_chunks_and_a_full_memo_give_the_ids_of_whole_texts(docs, monkeypatch, name, blank):
+    """New words are encoded many at a time; texts with the joint itself, chunks met again, a memo of 50 chunks."""
+    import pyarrow as pa
+
+    made = []
+    batch = tokens.Encoder.encode
+    monkeypatch.setattr(tokens.Encoder, "encode", lambda self, strings, spans: made.append(len(strings)) or batch(self, strings, spans))
+    monkeypatch.setattr(tokens, "MEMO", 50)
+    tokens.encoder.cache_clear()
+    texts = [r.text for r in docs.limit(40).collect()]
+    for part in (texts[:20], texts[10:] + STRANGE, ["a \x01 b\x01c", tokens.TOKEN_JOINT, "x" + tokens.TOKEN_JOINT + " y", "\x01"], texts):
+        got = tokens.encode(pa.array(part, pa.string()), tokens.vocabulary(name), blank)
+        for i, ids in enumerate(whole(name, part)):
+            assert got.ids[got.first[i] : got.first[i + 1]].tolist() == ids
+    enc = tokens.encoder(tokens.vocabulary(name), blank)
+    assert len(enc.memo[False].hash) == 50 and made[0] > 128
+    # one call of the library for JOINED strings
+    sizes, ids, _ = enc.encode(["one", "two words" if blank == tokens.DROPPED else " two"] * 200, False)
+    assert len(sizes) == 400 and sizes.sum() == len(ids)
+    tokens.encoder.cache_clear()
+
+
+def test_memo_spans_are_those_of_whole_texts(docs):
+    import pyarrow as pa
+
+    texts = [r.text for r in docs.limit(20).collect()]
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    for part in (texts[:12], texts):
+        got = tokens.encode(pa.array(part, pa.string()), path, tokens.GLUED, spans=True)
+        for i, e in enumerate(t.encode_batch([x or "" for x in part], add_special_tokens=False)):
+            assert got.spans[got.first[i] : got.first[i + 1]].tolist() == [list(x) for x in e.offsets]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd"])
 def test_packing(request, which):
     frame = request.getfixturevalue(which)
