@@ -179,8 +179,8 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(of, "doc long, n long, s long, t long")
 
 
-def _repeated(docs: DataFrame, k: int, schemes: Schemes, bits: int) -> DataFrame:
-    """(key, s, t): signatures estimated repeated, with the digest of their set."""
+def _repeated(docs: DataFrame, k: int, schemes: Schemes, bits: int) -> tuple:
+    """(key, s, t): signatures estimated repeated, with the digest of their set; and the sketch, to be destroyed."""
     def keys(batches):
         for b in slices(batches, "text"):
             yield signatures(*shingles(b.column(1), k), schemes)[0]
@@ -196,7 +196,7 @@ def _repeated(docs: DataFrame, k: int, schemes: Schemes, bits: int) -> DataFrame
             sig, at = sig[hit], at[hit]
             yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(s[at]), pa.array(t[at])], ["key", "s", "t"])
 
-    return docs.mapInArrow(rows, "key long, s long, t long")
+    return docs.mapInArrow(rows, "key long, s long, t long"), seen
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -250,8 +250,8 @@ def _differences(near: DataFrame, bodies: DataFrame) -> DataFrame:
     return joined.select("u", "v", "n", "need", "bu", "bv").mapInArrow(of, "p long, rep long, n long, need long, added binary, removed binary")
 
 
-def _common_differences(d: DataFrame, bits: int) -> DataFrame:
-    """(key, rep, n): a group per pivot and token; sets with ``need`` common tokens in their differences share one.
+def _common_differences(d: DataFrame, bits: int) -> tuple:
+    """(key, rep, n) and the sketch: a group per pivot and token; sets with ``need`` common tokens in their differences share one.
 
     Every set takes all but the last need - 1 tokens of its difference under one order per pivot: tokens estimated
     single, then tokens the pivot lacks, then tokens of the pivot. Single tokens make no group.
@@ -281,7 +281,7 @@ def _common_differences(d: DataFrame, bits: int) -> DataFrame:
             at = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(found))), b.column(1).take(at), b.column(2).take(at)], ["key", "rep", "n"])
 
-    return d.mapInArrow(of, "key long, rep long, n long")
+    return d.mapInArrow(of, "key long, rep long, n long"), seen
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100, bits: int = sketch.BITS) -> DataFrame:
@@ -295,11 +295,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     histogram = {r.n: r.c for r in classes.groupBy(level).agg(F.max("n").alias("n"), F.count("*").alias("c")).collect()}
     schemes = Schemes(histogram, num, den)
 
-    found = _repeated(docs, k, schemes, bits)
+    found, seen = _repeated(docs, k, schemes, bits)
     several = found.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo < hi").select("key")
     keys = materialise(
         found.join(several, "key").groupBy("key", "s", "t").agg(F.lit(1).alias("one")).join(classes.filter("rep IS NOT NULL"), ["s", "t"]).select("key", "rep", "n"), "keys"
     )
+    seen.destroy()  # 32 MB of each process, else kept until the driver collects its garbage
     bodies = materialise(_bodies(docs, keys.select("rep").distinct(), k), "bodies")
     links = comp = None
 
@@ -351,7 +352,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             F.xxhash64("p", F.lit("far")).alias("p"), "rep", "n", F.expr(f"({num} * n + {den - 1}) div {den}").alias("need"), F.col("body").alias("added"), F.lit(b"").alias("removed")
         )
         d = materialise(_differences(unlinked, bodies).unionByName(far), "differences")
-        keys = materialise(_common_differences(d, bits), "keys")
+        tokens, seen = _common_differences(d, bits)
+        keys = materialise(tokens, "keys")
+        seen.destroy()
     comp = spark.createDataFrame([], "node long, comp long") if comp is None else comp
     whole = sets.join(classes.select("s", "t", "rep"), ["s", "t"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("comp", "rep"))

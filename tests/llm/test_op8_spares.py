@@ -1,5 +1,7 @@
 """op8's signatures of long texts: few, and none lost where only empty segments agree."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -45,3 +47,14 @@ def test_sets_that_agree_in_empty_segments_only(monkeypatch, spares):
         same = len(np.intersect1d(x, y))
         assert 100 * same >= 80 * (len(x) + len(y) - same)
         assert len(np.intersect1d(_signatures(x, schemes), _signatures(y, schemes)))
+
+
+def test_sketches_are_destroyed_once_used(spark, monkeypatch):
+    """Each of them holds 32 MB in every process; the driver's garbage collection may come too late."""
+    made, build = [], op8.sketch.build
+    monkeypatch.setattr(op8.sketch, "build", lambda *a: made.append(build(*a)) or made[-1])
+    texts = [" ".join(f"w{j + (1000 if j == i else 0)}" for j in range(40)) for i in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = op8.jaccard_components(docs, bits=16)
+    assert made and not any(os.path.exists(b._path) for b in made)
+    assert found.count() == 8
