@@ -45,6 +45,7 @@ from furnacelens.session import materialise
 SPARE = 2  # least number of segments beyond H + 1 where theta is 0
 NAMED = 3  # segments too small to tell sets apart that make one index entry
 FEW_PAIRS = 2  # pairs across components per set of a group, up to which they are compared at once; four times as many each turn
+SLICE_BYTES = 1 << 17  # of text hashed at once: what is held beside it is some sixty times as large
 TURNS = 4  # pivots of a group; what is left after the last one is compared whatever its size
 
 
@@ -170,7 +171,7 @@ def signatures(h: np.ndarray, row: np.ndarray, ptr: np.ndarray, schemes: Schemes
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc, n, s, t): set size and a digest of 128 bits."""
     def of(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, row, ptr = shingles(b.column(1), k)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(ptr)), pa.array(signed(_sums(salted(h, 21), ptr))), pa.array(signed(_sums(salted(h, 22), ptr)))], ["doc", "n", "s", "t"]
@@ -182,13 +183,13 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 def _repeated(docs: DataFrame, k: int, schemes: Schemes, bits: int) -> tuple:
     """(key, s, t): signatures estimated repeated, with the digest of their set; and the sketch, to be destroyed."""
     def keys(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             yield signatures(*shingles(b.column(1), k), schemes)[0]
 
     seen = sketch.build(docs, keys, bits)
 
     def rows(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, row, ptr = shingles(b.column(1), k)
             sig, at = signatures(h, row, ptr, schemes)
             hit = sketch.repeated(seen.value, sig)
@@ -202,7 +203,7 @@ def _repeated(docs: DataFrame, k: int, schemes: Schemes, bits: int) -> tuple:
 def _bodies(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, n, body): sorted shingle hashes of the wanted documents."""
     def of(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             h, _, ptr = shingles(b.column(1), k)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(ptr)), pa.array([np.sort(h[i:j]).tobytes() for i, j in zip(ptr[:-1], ptr[1:])], pa.binary())], ["rep", "n", "body"]

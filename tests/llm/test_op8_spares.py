@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from furnacelens.llm import op8_ngram_jaccard as op8
@@ -58,3 +59,25 @@ def test_sketches_are_destroyed_once_used(spark, monkeypatch):
     found = op8.jaccard_components(docs, bits=16)
     assert made and not any(os.path.exists(b._path) for b in made)
     assert found.count() == 8
+
+
+def test_texts_are_hashed_in_small_slices(monkeypatch):
+    """A worker's memory beside the sketch follows the slice; every row still comes out, in order."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(150)) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(1500), pa.int64()), "text": pa.array(texts)})
+    seen, shingles = [], op8.shingles
+    monkeypatch.setattr(op8, "shingles", lambda column, k: seen.append(sum(len(t) for t in column.to_pylist())) or shingles(column, k))
+
+    class Docs:
+        def mapInArrow(self, of, schema):
+            return list(of([batch]))
+
+    class Sketch:
+        value = np.full((4, 1 << 13), 255, np.uint8)
+
+    monkeypatch.setattr(op8.sketch, "build", lambda docs, keys, bits: [list(keys([batch])), Sketch][1])
+    sets = pa.Table.from_batches(op8._sets(Docs(), 4))
+    assert sets.column("doc").to_pylist() == list(range(1500)) and set(sets.column("n").to_pylist()) == {147}
+    found, _ = op8._repeated(Docs(), 4, op8.Schemes({147: 1500}, 85, 100), 16)
+    assert len({(r["s"], r["t"]) for b in found for r in b.to_pylist()}) == 1500
+    assert sum(map(len, texts)) > 1 << 20 and max(seen) <= (1 << 17) + max(map(len, texts))
