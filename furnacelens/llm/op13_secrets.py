@@ -37,6 +37,12 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_GROUP = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # AKIA[A-Z0-9]+ of 18 characters or more
 HEX = r"[0-9a-f]{16,}"  # [0-9a-f]+ of 16 characters or more
+HEX_LENGTH = 16
+# the same classes with each character named: Java looks them up in one bitmap instead of range after range
+CANDIDATE = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+HEX_NAMED = f"[0123456789abcdef]{{{HEX_LENGTH},}}"
+ASSIGN_AHEAD = "(?=[pPsStTaA])" + ASSIGN  # its first letters, tested at once
+KEY_WORDS = ("passw", "secret", "token", "apikey", "api_key")  # one of them is in every match of ASSIGN
 KINDS = ("assign", "access", "hex", "random")
 # parameters of the method
 MIN_LENGTH = 20
@@ -50,20 +56,39 @@ ALPHABETS = {  # size and class shares (digits, upper, lower, symbols)
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a column named in a lambda is computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _found(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Array of (kind, order, i, piece length before, match length, group length, match) of each match."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")
+    parts = [F.split(text, pattern, -1).alias("piece"), matches, *([F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group")] if group else [])]
     return F.transform(
-        matches,
+        F.filter(F.arrays_zip(*parts), lambda x: x["match"].isNotNull()),  # there is a piece more than matches
         lambda x, i: F.struct(
-            F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("ko"), i.alias("i"), F.length(F.get(pieces, i)).alias("before"),
-            F.length(x).alias("size"), F.length(F.get(groups, i)).alias("group"), (x if kind == "random" else F.lit(None).cast("string")).alias("token"),
+            F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("ko"), i.alias("i"), F.length(x["piece"]).alias("before"),
+            F.length(x["match"]).alias("size"), F.length(x["group" if group else "match"]).alias("group"),
+            (x["match"] if kind == "random" else F.lit(None).cast("string")).alias("token"),
         ),
     )
 
 
+def _gates(text: Column, run: int) -> dict[str, Column]:
+    """Per kind whether ``text`` may have a match; a text without it is spared the kind's patterns.
+
+    The key words are sought in the lower-cased text, which keeps every ASCII match of them. One walk over the runs of
+    candidate characters, none of it repeated, tells whether one is long enough for ``hex`` or ``random``.
+    """
+    low = F.lower(text)
+    words = low.contains(KEY_WORDS[0])
+    for w in KEY_WORDS[1:]:
+        words = words | low.contains(w)
+    long_run = text.rlike(rf"\A(?:[{CANDIDATE}]{{0,{run - 1}}}+[^{CANDIDATE}]++)*+[{CANDIDATE}]{{{run}}}")
+    return {"assign": words, "access": text.contains("AKIA"), "hex": long_run, "random": long_run}
+
+
 def _upper_tail(z: Column) -> Column:
     """P(N(0,1) > z), Abramowitz-Stegun 7.1.26 (absolute error below 1.5e-7)."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
@@ -75,20 +100,23 @@ def _upper_tail(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """(encoding, p): the battery's Bonferroni p-value that ``token`` is uniform over its implied alphabet."""
-    chars = F.split(token, "")
+    return _let(F.split(token, ""), lambda chars: _let(F.transform(chars, lambda c: F.ascii(c)), lambda codes: _battery(token, chars, codes)))
+
+
+def _battery(token: Column, chars: Column, codes: Column) -> Column:
     n = F.length(token).cast("double")
     enc = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
     size = F.when(enc == "hex", 16.0).when(enc == "alnum", 62.0).otherwise(64.0)
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda y: y == c)))
+    counts = F.transform(F.array_distinct(chars), lambda c: F.length(token) - F.length(F.replace(token, c)))
     s = F.aggregate(counts, F.lit(0).cast("long"), lambda a, k: a + k * k).cast("double")
     z_repeat = (s - (n + n * (n - 1) / size)) / F.sqrt(2 * n * (n - 1) * (size - 1) / (size * size))
 
-    def cls(c: Column) -> Column:
-        a = F.ascii(c)
+    def cls(a: Column) -> Column:
         return F.when(a.between(48, 57), 0).when(a.between(65, 90), 1).when(a.between(97, 122), 2).otherwise(3)
 
-    classes = F.transform(chars, cls)
-    changes = F.size(F.filter(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.element_at(classes, i) != F.element_at(classes, i + 1))).cast("double")
+    neighbours = F.slice(codes, F.lit(2), F.length(token) - 1)
+    changes = F.zip_with(F.slice(codes, F.lit(1), F.length(token) - 1), neighbours, lambda x, y: F.when(cls(x) != cls(y), 1).otherwise(0))
+    changes = F.aggregate(changes, F.lit(0), lambda a, x: a + x).cast("double")
     shares = {k: [x / a for x in c] for k, (a, c) in ALPHABETS.items()}
     sq = F.when(enc == "hex", sum(x * x for x in shares["hex"])).when(enc == "alnum", sum(x * x for x in shares["alnum"])).otherwise(sum(x * x for x in shares["base64"]))
     tri = {k: sum(x * (1 - x) ** 2 for x in v) for k, v in shares.items()}
@@ -97,14 +125,19 @@ def battery(token: Column) -> Column:
     var_changes = (n - 1) * q * (1 - q) + 2 * (n - 2) * (cube - q * q)
     z_runs = ((n - 1) * q - changes) / F.sqrt(F.greatest(var_changes, F.lit(1e-12)))
 
-    values = F.transform(chars, lambda c: F.ascii(c).cast("double"))
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    dev = F.transform(values, lambda v: v - mean)
-    num = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.element_at(dev, i) * F.element_at(dev, i + 1))
-    den = F.aggregate(dev, F.lit(0.0), lambda a, v: a + v * v)
-    r = F.when(den > 0, num / den).otherwise(F.lit(1.0))
+    total = F.aggregate(codes, F.lit(0.0), lambda a, v: a + v)
+    dev = _let(total / n, lambda mean: F.transform(codes, lambda v: v.cast("double") - mean))
+
+    def correlation(dev: Column) -> Column:
+        products = F.zip_with(F.slice(dev, F.lit(1), F.length(token) - 1), F.slice(dev, F.lit(2), F.length(token) - 1), lambda x, y: x * y)
+        num = F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+        den = F.aggregate(dev, F.lit(0.0), lambda a, v: a + v * v)
+        return _let(den, lambda den: F.when(den > 0, num / den).otherwise(F.lit(1.0)))
+
+    r = _let(dev, correlation)
     z_corr = F.abs(r + 1 / n) * F.sqrt(n)
-    p = F.least(F.lit(1.0), 3 * F.least(_upper_tail(z_repeat), _upper_tail(z_runs), 2 * _upper_tail(z_corr)))
+    tails = [_let(z, _upper_tail) for z in (z_repeat, z_runs, z_corr)]
+    p = F.least(F.lit(1.0), 3 * F.least(tails[0], tails[1], 2 * tails[2]))
     return F.struct(enc.alias("enc"), p.alias("p"))
 
 
@@ -120,11 +153,14 @@ def thresholds(cands: DataFrame, fdr: float) -> DataFrame:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, fdr: float = FDR) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
+    gates = _gates(F.col("_text"), min(HEX_LENGTH, min_length))
+    numbered = numbered.select("*", *[gates[k].alias(f"_{k}") for k in KINDS[:3]])
+    part = {k: F.when(F.col(f"_{'hex' if k == 'random' else k}"), F.col("_text")).otherwise(F.lit("")) for k in KINDS}
     every = F.concat(
-        _found(F.col("_text"), ASSIGN, "assign", 2), _found(F.col("_text"), ACCESS, "access"), _found(F.col("_text"), HEX, "hex"),
-        _found(F.col("_text"), f"[A-Za-z0-9+/_=-]{{{min_length},}}", "random"),
+        _found(part["assign"], ASSIGN_AHEAD, "assign", 2), _found(part["access"], ACCESS, "access"), _found(part["hex"], HEX_NAMED, "hex"),
+        _found(part["random"], f"[{CANDIDATE}]{{{min_length},}}", "random"),
     )
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
     rows = numbered.select("_row", "_id", F.explode_outer(every).alias("x"))
     rows = rows.select("_row", "_id", "x.kind", "x.ko", "x.i", "x.before", "x.size", "x.group", F.when(F.col("x.kind") == "random", battery(F.col("x.token"))).alias("t"))
     bins = F.least(F.floor(-GRID_STEPS * F.log10(F.greatest(F.col("t.p"), F.lit(1e-300)))), F.lit(GRID_STEPS * GRID_DECADES)).cast("int")
